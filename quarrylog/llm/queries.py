@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from quarrylog.llm import langid
+from pyspark.sql import functions as F
+
+from quarrylog.llm import langid, unigram
 from quarrylog.session import table
 
 
+def op2_sentencepiece(spark, d):
+    """Every whole text of documents encoded and decoded: digests of the ids and of the decoded text."""
+    docs = table(spark, d, "documents")
+    encoded = unigram.encode(docs).select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_pieces"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"))
+    back = unigram.decode(encoded, keep=("n_pieces", "ids_sha256"))
+    return back.select("doc_id", "n_pieces", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"), F.length("text").cast("bigint").alias("decoded_chars"))
+
+
+def op8_token_counts(spark, d):
+    """Unigram token count of every whole text of documents."""
+    return unigram.count_tokens(table(spark, d, "documents"))
+
+
 def op9_language_id(spark, d):
     """Language of every whole text of documents."""
     return langid.detect(table(spark, d, "documents"))
