@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrylog.llm import langid, unigram
+from quarrylog.llm import langid, toxicity, unigram
 from quarrylog.session import table
 
 
@@ -16,6 +16,11 @@ def op2_sentencepiece(spark, d):
     return back.select("doc_id", "n_pieces", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"), F.length("text").cast("bigint").alias("decoded_chars"))
 
 
+def op3_toxicity(spark, d):
+    """Toxicity score of every whole text of documents, learned from labels outside the held-out fold."""
+    return toxicity.detect(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def op8_token_counts(spark, d):
     """Unigram token count of every whole text of documents."""
     return unigram.count_tokens(table(spark, d, "documents"))
