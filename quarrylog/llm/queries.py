@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrylog.llm import langid, toxicity, unigram
+from quarrylog.llm import langid, neardup, toxicity, unigram
 from quarrylog.session import table
 
 
@@ -31,6 +31,11 @@ def op9_language_id(spark, d):
     return langid.detect(table(spark, d, "documents"))
 
 
+def op10_minhash_near_dedup(spark, d):
+    """Near-duplicate components of all documents: 2-word shingle sets of similarity 0.8 or more."""
+    return neardup.near_duplicates(table(spark, d, "documents"), words=2, percent=80)
+
+
 ORACLES: dict[str, str] = {}
 
 QUERIES = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
