@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrylog.llm import langid, neardup, toxicity, unigram
+from quarrylog.llm import langid, neardup, toxicity, unigram, vectors
 from quarrylog.session import table
 
 
@@ -21,6 +21,11 @@ def op3_toxicity(spark, d):
     return toxicity.detect(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op5_embedding_near_dedup(spark, d):
+    """Links and components of all embeddings: equal labels, cosine of 0.98 or more."""
+    return vectors.near_duplicates(table(spark, d, "embeddings"))
+
+
 def op8_token_counts(spark, d):
     """Unigram token count of every whole text of documents."""
     return unigram.count_tokens(table(spark, d, "documents"))
@@ -36,6 +41,27 @@ def op10_minhash_near_dedup(spark, d):
     return neardup.near_duplicates(table(spark, d, "documents"), words=2, percent=80)
 
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_embedding_near_dedup": """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) e FROM embeddings
+   WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ l AS MATERIALIZED (SELECT a.vec_id x, b.vec_id y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98e0),
+ r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+ c AS (SELECT x, min(y) m FROM r GROUP BY x), n AS (SELECT x, count(*) k FROM l GROUP BY x)
+ SELECT vec_id, coalesce(k, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id <= coalesce(m, vec_id) AS kept
+ FROM embeddings LEFT JOIN c ON c.x = vec_id LEFT JOIN n ON n.x = vec_id""",
+    "op10_minhash_near_dedup": """WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') t FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(t) = 0 THEN [] WHEN len(t) = 1 THEN t ELSE list_distinct(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) END h FROM w),
+ g AS (SELECT min(doc_id) doc_id, h, len(h) n FROM (SELECT doc_id, list_sort(h) h FROM s) WHERE len(h) > 0 GROUP BY h),
+ e AS (SELECT doc_id, n, unnest(h) x FROM g), f AS (SELECT x, count(*) c FROM e GROUP BY x),
+ o AS (SELECT doc_id, n, x, row_number() OVER (PARTITION BY doc_id ORDER BY c, x) r FROM e JOIN f USING (x)),
+ p AS (SELECT * FROM o WHERE r <= n - ceil(0.8 * n) + 1),
+ q AS (SELECT DISTINCT a.doc_id x, b.doc_id y FROM p a JOIN p b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+ k AS (SELECT q.x, q.y, len(list_intersect(a.h, b.h)) i, a.n + b.n t FROM q JOIN g a ON a.doc_id = q.x JOIN g b ON b.doc_id = q.y),
+ l AS MATERIALIZED (SELECT x, y FROM k WHERE 100 * i >= 80 * (t - i) UNION ALL SELECT y, x FROM k WHERE 100 * i >= 80 * (t - i)),
+ r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+ c AS (SELECT x, min(y) m FROM r GROUP BY x)
+ SELECT s.doc_id, len(s.h) AS n_shingles, coalesce(least(g.doc_id, m), s.doc_id) AS component_id, s.doc_id = coalesce(least(g.doc_id, m), s.doc_id) AS kept
+ FROM s LEFT JOIN g ON list_sort(s.h) = g.h LEFT JOIN c ON c.x = g.doc_id""",
+}
 
 QUERIES = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
