@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrylog.llm import langid, neardup, toxicity, unigram, vectors
+from quarrylog.llm import langid, neardup, pii, toxicity, unigram, vectors
 from quarrylog.session import table
 
 
+def op1_pii(spark, d):
+    """Personal data in every whole text of documents, with words that disclose it."""
+    return pii.report(table(spark, d, "documents"))
+
+
 def op2_sentencepiece(spark, d):
     """Every whole text of documents encoded and decoded: digests of the ids and of the decoded text."""
     docs = table(spark, d, "documents")
