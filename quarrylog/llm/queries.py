@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrylog.llm import langid, neardup, pii, toxicity, unigram, vectors
+from quarrylog.llm import decontam, langid, neardup, pii, toxicity, unigram, vectors
 from quarrylog.session import table
 
 
@@ -26,6 +26,11 @@ def op3_toxicity(spark, d):
     return toxicity.detect(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op4_decontamination(spark, d):
+    """Documents that hold a benchmark item, or a near copy of one, with the most similar window."""
+    return decontam.report(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def op5_embedding_near_dedup(spark, d):
     """Links and components of all embeddings: equal labels, cosine of 0.98 or more."""
     return vectors.near_duplicates(table(spark, d, "embeddings"))
@@ -47,6 +52,20 @@ def op10_minhash_near_dedup(spark, d):
 
 
 ORACLES: dict[str, str] = {
+    "op4_decontamination": r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') t FROM documents),
+ b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') t FROM benchmark),
+ bs AS (SELECT item_id, len(t) size, unnest(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' '))) h FROM b WHERE len(t) >= 5),
+ n AS (SELECT count(*) n FROM b WHERE len(t) > 0),
+ wt AS (SELECT h, ln(1 + (SELECT n FROM n) / count(DISTINCT item_id)) weight FROM bs GROUP BY h),
+ g AS (SELECT item_id, size, h, count(*) c FROM bs GROUP BY ALL),
+ it AS (SELECT item_id, size, sum(weight * c) total FROM g JOIN wt USING (h) GROUP BY ALL),
+ ds AS (SELECT doc_id, unnest(range(0, len(t) - 4)) pos, unnest(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' '))) h FROM w WHERE len(t) >= 5),
+ st AS (SELECT DISTINCT doc_id, item_id, size, pos AS start FROM ds JOIN g USING (h)),
+ win AS (SELECT st.doc_id, st.item_id, st.size, st.start, ds.h, count(*) c FROM st JOIN ds ON ds.doc_id = st.doc_id AND ds.pos BETWEEN st.start AND st.start + st.size - 5 GROUP BY ALL),
+ sim AS (SELECT win.doc_id, win.item_id, start, sum(CASE WHEN g.h IS NULL THEN 0 ELSE wt.weight * least(win.c, g.c) END) inter, sum(coalesce(wt.weight, ln(1 + (SELECT n FROM n))) * win.c) wsum
+   FROM win LEFT JOIN g ON g.item_id = win.item_id AND g.h = win.h LEFT JOIN wt ON wt.h = win.h GROUP BY ALL),
+ r AS (SELECT doc_id, item_id, start, round(inter / (total + wsum - inter), 6) s FROM sim JOIN it USING (item_id) WHERE inter / (total + wsum - inter) >= 0.8 - 1e-9)
+ SELECT doc_id, item_id, max(s) AS similarity, arg_min(start, row(-s, start)) AS first_word FROM r GROUP BY ALL""",
     "op5_embedding_near_dedup": """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) e FROM embeddings
    WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
  l AS MATERIALIZED (SELECT a.vec_id x, b.vec_id y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98e0),
