@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrylog.llm import chat, decontam, langid, neardup, pii, toxicity, unigram, vectors
+from quarrylog.llm import chat, decontam, langid, neardup, pii, shards, toxicity, unigram, vectors
 from quarrylog.session import table
 
 
@@ -36,6 +36,11 @@ def op5_embedding_near_dedup(spark, d):
     return vectors.near_duplicates(table(spark, d, "embeddings"))
 
 
+def op6_sharding(spark, d):
+    """All documents appended in four arrivals, compacted after each, and read back from their shards."""
+    return shards.report(table(spark, d, "documents"))
+
+
 def op7_chat_formatting(spark, d):
     """Budgeted windows of all conversations and of one made of control strings, read back."""
     return chat.report(chat.with_hostile(table(spark, d, "conversations")))
