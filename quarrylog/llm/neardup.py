@@ -5,7 +5,7 @@
 2. The forest has 32 orders of the signature (order t starts at minimum 4t and runs on cyclically). A region is a
    prefix of an order; classes that share a region are candidates. The first depth is 4 minima: two sets of
    similarity 0.8 miss each other in all 32 orders with probability 5e-8. Regions with many classes are
-   deepened step by step (4, 8, 12 minima), which brings the nearest classes, those of the longest common
+   deepened (to 8 minima), which brings the nearest classes, those of the longest common
    prefix, together first.
 3. Every class is checked, on full sets, against the smallest class of the regions it shares most often, deepest first.
    Components of these links settle nearly all regions.
@@ -25,7 +25,7 @@ from typing import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quarrylog.llm.common import by_value, drop_written, written
 from quarrylog.llm.components import components
@@ -33,7 +33,7 @@ from quarrylog.llm.components import components
 MINIMA = 128
 TREES = 32
 DEPTH = 4
-DEPTHS = (4, 8, 12)
+DEPTHS = (4, 8)
 CROWD = 32  # a region with more classes gets the next depth
 SURE_TREES = 6
 EST_MIN = 77  # of 128 equal minima
@@ -81,7 +81,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, node (128-bit hash of the set; NULL without shingles) and sig of every text."""
+    """doc_id, n_shingles, digest (128 bits, of the set; NULL without shingles) and sig of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,25 +91,27 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(at, 256),
+                        batch.column("text_hash").slice(at, 256),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array([signature(s).astype("<u4").tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "node", "sig"],
+                    ["doc_id", "text_hash", "n_shingles", "digest", "sig"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, node binary, sig binary")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, digest binary, sig binary")
 
 
-def _regions(classes: DataFrame, depth: int) -> DataFrame:
-    """(tree, key, node) of every class in every order at one depth."""
+def _keys(depth: int) -> Column:
+    """The regions of a signature at one depth: a hash of the prefix and the order, for every order."""
     whole = F.concat("sig", F.substring("sig", 1, 4 * (DEPTHS[-1] - 1)))
-    keys = F.array(*[F.xxhash64(F.substring(whole, 4 * DEPTH * t + 1, 4 * depth), F.lit(t)) for t in range(TREES)])
-    return classes.select("node", F.posexplode(keys).alias("tree", "key"))
+    return F.array(*[F.xxhash64(F.substring(whole, 4 * DEPTH * t + 1, 4 * depth), F.lit(t)) for t in range(TREES)])
 
 
-def _leaders(regions: DataFrame) -> DataFrame:
-    return regions.groupBy("tree", "key").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
+def _company(regions: DataFrame) -> DataFrame:
+    """(key, leader, size) of regions(key, node) with more than one class."""
+    return regions.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
@@ -118,21 +120,22 @@ def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, perc
     pairs = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(1 << 30)).alias("_h"))
     fans = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(FAN)).cast("int").alias("fans"))
     members = pairs.join(fans, "b").select("a", "b", (F.col("_h") % F.col("fans")).cast("int").alias("fan"))
-    leaders = fans.select(F.lit(None).cast("binary").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan"))
+    leaders = fans.select(F.lit(None).cast("bigint").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan"))
+    reps = reps.select("node", "rep", "digest")
     asked = members.select(F.col("a").alias("node"), "a", "b", "fan").unionByName(leaders.select(F.col("b").alias("node"), "a", "b", "fan"))
     need = asked.select("node").distinct().join(reps, "node")
     rows = docs.select(F.col("doc_id").alias("rep"), "text").where(F.col("rep").isNotNull())
-    texts = rows.join(F.broadcast(need) if need.count() <= BROADCAST_IDS else need, "rep").select("node", "text")
+    texts = rows.join(F.broadcast(need) if need.count() <= BROADCAST_IDS else need, "rep").select("node", "digest", "text")
     placed = asked.join(texts, "node").repartition("b", "fan").sortWithinPartitions("b", "fan", F.col("a").asc_nulls_first())
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, leader = None, None
         for batch in batches:
             out: list[tuple] = []
-            columns = [batch.column(c).to_pylist() for c in ("node", "a", "b", "fan", "text")]
-            for node, a, b, fan, text in zip(*columns):
+            columns = [batch.column(c).to_pylist() for c in ("digest", "a", "b", "fan", "text")]
+            for digest, a, b, fan, text in zip(*columns):
                 s = shingles(text, words)
-                if xxhash.xxh3_128_digest(s.tobytes()) != node:
+                if xxhash.xxh3_128_digest(s.tobytes()) != digest:
                     continue  # another text under a shared id
                 if a is None:
                     group, leader = (b, fan), s
@@ -140,17 +143,17 @@ def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, perc
                     both = len(np.intersect1d(leader, s, assume_unique=True))
                     if 100 * both >= percent * (len(leader) + len(s) - both):
                         out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
-    return placed.mapInArrow(check, "a binary, b binary").distinct()
+    return placed.mapInArrow(check, "a bigint, b bigint").distinct()
 
 
 def _blocks(open_rows: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Rows (tree, key, node, comp) of unsettled regions, copied to the cells of their region's block pairs."""
-    sizes = open_rows.groupBy("tree", "key").agg(F.ceil(F.count("*") / F.lit(CELL)).cast("int").alias("blocks"))
-    rows = open_rows.join(sizes, ["tree", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    """Rows (key, node, comp, n_shingles) of unsettled regions, copied to the cells of their region's block pairs."""
+    sizes = open_rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(CELL)).cast("int").alias("blocks"))
+    rows = open_rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    cells = rows.select("tree", "key", "node", "comp", "n_shingles", "block", other)
+    cells = rows.select("key", "node", "comp", "n_shingles", "block", other)
     return cells.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "block").join(sigs, "node")
 
 
@@ -165,7 +168,7 @@ def compare(cells: DataFrame, percent: int) -> DataFrame:
                 return []
             s = np.frombuffer(b"".join(sigs), "<u4").reshape(len(nodes), -1)
             n = np.array(counts)
-            label = np.unique(np.array(comps, dtype=object), return_inverse=True)[1]
+            label = np.array(comps)
             out = []
             for i in range(len(nodes) - 1):
                 rest = np.flatnonzero((label[i + 1 :] != label[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))) + i + 1
@@ -176,62 +179,87 @@ def compare(cells: DataFrame, percent: int) -> DataFrame:
 
         for batch in batches:
             out: list[tuple] = []
-            for tree, key, i, j, node, comp, n, sig in zip(*(batch.column(c).to_pylist() for c in ("tree", "key", "i", "j", "node", "comp", "n_shingles", "sig"))):
-                if (tree, key, i, j) != group:
+            for key, i, j, node, comp, n, sig in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "node", "comp", "n_shingles", "sig"))):
+                if (key, i, j) != group:
                     out += flush()
-                    group, nodes, comps, counts, sigs = (tree, key, i, j), [], [], [], []
+                    group, nodes, comps, counts, sigs = (key, i, j), [], [], [], []
                 nodes.append(node), comps.append(comp), counts.append(n), sigs.append(sig)
             out = list(set(out))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
         out = flush()
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
-    keys = ["tree", "key", "i", "j"]
-    return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a binary, b binary").distinct()
+    keys = ["key", "i", "j"]
+    return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def links(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+def classes_of(rows: DataFrame) -> DataFrame:
+    """(node, digest, rep, n_shingles, sig) of every distinct set; node is a number given when the table is written."""
+    groups = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    return written(groups.withColumn("node", F.monotonically_increasing_id()), "classes")
+
+
+def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) between classes that connect all that is linked (not every pair of a component)."""
-    classes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
-    reps = classes.where("rep IS NOT NULL").select("node", "rep")
-    shared = classes.select("node", "sig")
-
-    # crowded regions are deepened: a region's classes meet the leader of their longest shared prefix as well
-    regions = _regions(shared, DEPTHS[0])
-    leaders = written(_leaders(regions), "leaders")
-    met = written(regions.join(leaders, ["tree", "key"]), "met")  # rows of regions with company
+    reps = classes.where("rep IS NOT NULL")
+    regions = classes.select("node", F.explode(_keys(DEPTHS[0])).alias("key"))
+    met = written(regions.join(_company(regions), "key"), "met")  # rows of regions with company
     votes = met.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("trees"))
-    deep = met.where(F.col("size") > CROWD).select("node").distinct().join(shared, "node")
+    # crowded regions are deepened: their classes meet the leader of their longest shared prefix as well
+    deep = classes.join(met.where(F.col("size") > CROWD).select("node").distinct(), "node", "left_semi")
     for depth in DEPTHS[1:]:
-        finer = _regions(deep, depth)
-        more = finer.join(_leaders(finer), ["tree", "key"]).where("node <> leader").groupBy("node", "leader").agg((F.count("*") * F.lit(2)).alias("trees"))
-        votes = votes.unionByName(more)
+        finer = deep.select("node", F.explode(_keys(depth)).alias("key"))
+        votes = votes.unionByName(finer.join(_company(finer), "key").where("node <> leader").groupBy("node", "leader").agg((F.count("*") * F.lit(2)).alias("trees")))
     best = votes.groupBy("node", "leader").agg(F.sum("trees").alias("trees")).where(F.col("trees") >= SURE_TREES)
     first = best.groupBy("node").agg(F.max_by("leader", F.struct("trees", "leader")).alias("b")).select(F.col("node").alias("a"), "b")
     sure = written(confirm(first, docs, reps, words, percent), "links")
 
     groups = components(sure)
-    named = met.select("tree", "key", "node").join(groups, "node", "left").select("tree", "key", "node", F.coalesce("component", "node").alias("comp"))
-    mixed = named.groupBy("tree", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tree", "key")
-    open_rows = written(named.join(mixed, ["tree", "key"]).join(classes.select("node", "n_shingles"), "node"), "open")
-    rest = compare(_blocks(open_rows, shared), percent)
+    crowd = classes.select("node", "n_shingles", _keys(DEPTHS[0]).alias("keys")).join(met.select("node").distinct(), "node", "left_semi")
+    named = crowd.join(groups, "node", "left").select("node", "n_shingles", F.coalesce("component", "node").alias("comp"), F.explode("keys").alias("key"))
+    mixed = written(named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "mixed")
+    open_rows = written(named.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed, "key"), "open")
+    rest = compare(_blocks(open_rows, classes.select("node", "sig")), percent)
     late = written(confirm(rest, docs, reps, words, percent), "links")
-    for table in (met, leaders, open_rows):
+    for table in (met, mixed, open_rows):
         drop_written(table)
     return sure.unionByName(late)
 
 
+def grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component (a number; NULL without words) and component_id of every row."""
+    rows = written(sketch(docs, words), "sketch")
+    classes = classes_of(rows)
+    groups = components(links(docs, classes, words, percent))
+    named = classes.select("node", "digest", "rep").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    roots = named.groupBy("component").agg(F.min("rep").alias("least"))
+    answer = named.join(roots, "component").select("digest", "component", "least")
+    out = rows.select("doc_id", "text_hash", "n_shingles", "digest").join(answer, "digest", "left")
+    return out.select("doc_id", "text_hash", "n_shingles", "component", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links of similarity >= percent %) and kept
     for every row. Texts that are NULL or have no words are linked with nothing and kept; rows of one set are
     linked; rows with a NULL id have a NULL component and are kept. Repeated rows stay. Only doc_id and text are read."""
-    rows = written(sketch(docs, words), "sketch")
-    groups = components(links(docs, rows, words, percent))
-    smallest = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = smallest.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    # only classes of more than their own smallest row need the second look-up
-    roots = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    answer = named.join(roots, "component").select("node", "component_id")
-    out = rows.select("doc_id", "n_shingles", "node").join(answer, "node", "left")
-    final = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", final.alias("component_id"), F.coalesce(F.col("doc_id") == final, F.lit(True)).alias("kept"))
+    rows = grouped(docs, words, percent).select("doc_id", "n_shingles", "component_id")
+    return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, all their columns, of which one of each group stays: that of the smallest id (NULL ids last; among
+    rows of one id, that of the smallest text hash). Of repeated rows one stays. Texts without words all
+    stay but for repeated ones. Rows equal in id and text that differ in other columns count as repeated."""
+    rows = grouped(docs, words, percent)
+    key = ["doc_id", "text_hash"]
+    alone = rows.where("component IS NULL").groupBy(*key).agg(F.count("*").alias("n"), F.lit(True).alias("stays"))
+    texts = written(rows.where("component IS NOT NULL").groupBy("component", *key).agg(F.count("*").alias("n")), "texts")
+    first = texts.groupBy("component").agg(F.min_by(F.struct(*key), F.struct(F.col("doc_id").isNull(), *key)).alias("f"))
+    same = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("text_hash") == F.col("f.text_hash"))
+    marked = written(texts.join(first, "component").select(*key, "n", same.alias("stays")).unionByName(alone), "marked")
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+    named = lambda df: few(df.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")))
+    match = docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_t"))
+    gone, repeated = marked.where("NOT stays"), marked.where("stays AND n > 1")
+    left = docs.join(named(gone.unionByName(repeated)), match, "left_anti")
+    return left.unionByName(docs.join(named(repeated), match, "left_semi").dropDuplicates(["doc_id", "text"]))
