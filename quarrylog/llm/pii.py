@@ -113,7 +113,7 @@ def candidates(marked: DataFrame) -> DataFrame:
     after = F.substring(F.col("_text"), F.col("s.end") + 1, F.lit(CONTEXT_CHARS))
     # words cut by the window's border are left out with the first and last run of letters
     near = F.concat(F.regexp_replace(before, r"^\p{L}+", ""), F.lit(" "), F.regexp_replace(after, r"\p{L}+$", ""))
-    contexts = spans.select("_key", _entity(F.col("s")).alias("entity"), near.alias("near"))
+    contexts = written(spans.select("_key", _entity(F.col("s")).alias("entity"), near.alias("near")), "pii-contexts")
     df_entity = contexts.select("entity", "_key").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
     pairs = contexts.select("_key", "entity", F.xxhash64("near").alias("context"), F.explode(_words(F.col("near"))).alias("term"))
     together = pairs.groupBy("term", "entity").agg(F.count_distinct("_key").alias("co"), F.count_distinct("context").alias("contexts"))

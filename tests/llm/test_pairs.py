@@ -74,10 +74,10 @@ def test_near_duplicates_exact(spark, words, monkeypatch):
 
 def test_deduplicate_edges(spark):
     long = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda my ny xi"
-    rows = [(2, long, "x"), (1, long, "y"), (1, long, "y"), (3, "", "z"), (3, "", "z"), (4, None, None), (5, "quite another text with some words", "q"), (5, "a second text of the same id it has", "q"), (None, long + " omikron", "n")]
+    rows = [(2, long, "x"), (1, long, "y"), (1, long, "y"), (3, "", "z"), (3, "", "z"), (4, None, None), (5, "quite another text with some words", "q"), (5, "a second text of the same id it has", "q"), (None, long + " omikron", "n"), (None, long, "m")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, node string")
     got = sorted(neardup.deduplicate(df).collect(), key=str)
-    assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, long), (3, ""), (4, None), (5, rows[6][1]), (5, rows[7][1])])
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, long), (3, ""), (4, None), (5, rows[6][1]), (5, rows[7][1]), (None, rows[8][1])])
     assert neardup.deduplicate(df.limit(0)).count() == 0 and neardup.near_duplicates(df.limit(0)).count() == 0
 
 
