@@ -15,10 +15,14 @@ def op1_pii(spark, d):
 
 def op2_sentencepiece(spark, d):
     """Every whole text of documents encoded and decoded: digests of the ids and of the decoded text."""
-    docs = table(spark, d, "documents")
-    encoded = unigram.encode(docs).select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_pieces"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"))
-    back = unigram.decode(encoded, keep=("n_pieces", "ids_sha256"))
-    return back.select("doc_id", "n_pieces", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"), F.length("text").cast("bigint").alias("decoded_chars"))
+    both = unigram.encode(table(spark, d, "documents"), decoded=True)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_pieces"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.length("decoded").cast("bigint").alias("decoded_chars"),
+    )
 
 
 def op3_toxicity(spark, d):

@@ -24,12 +24,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from itertools import accumulate
 from typing import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from quarrylog.llm.common import by_value, cached, written
@@ -41,7 +43,7 @@ UNK_PENALTY = 10
 GIANT_CHARS = 65_536
 CHUNK_CHARS = 32_768
 SNAP_CHARS = 256  # a chunk's border moves to the first forced break within so many characters
-MEMO = 300_000
+MEMO = 250_000  # words per generation, two generations
 NEVER = -(1 << 80)
 
 by_value(__name__)
@@ -86,6 +88,8 @@ class Segmenter:
         for piece, i, score in model["normal"]:
             self.found.add_word(piece, (len(piece), i, score))
         self.found.make_automaton()
+        self.prefixes: dict[str, tuple] = {p[:k]: () for p, _, _ in model["normal"] for k in range(1, len(p))}
+        self.prefixes |= {p: (i, score) for p, i, score in model["normal"]}
         self.longest = max((len(p) for p, _, _ in model["normal"]), default=1)
         self.known = {c for p, _, _ in model["normal"] for c in p}
         self.single = {p for p, _, _ in model["normal"] if len(p) == 1}
@@ -93,7 +97,7 @@ class Segmenter:
         marks = "".join(c for c in "\n\t\r" if c not in self.known)
         self.alone = re.compile(f"([{marks}])") if marks else None
         self.plain = "\n" not in self.known  # lines can be cut apart
-        self.ids = _Memo(lambda w: np.array(self.word(w)[1], "<i4").tobytes())
+        self.ids = _Memo(lambda w: struct.pack(f"<{len(ids := self.word(w)[1])}i", *ids))
         self.sizes = _Memo(self.count_word)
 
     def unknown(self, c: str) -> list[int]:
@@ -132,9 +136,30 @@ class Segmenter:
         return [i for ids in reversed(out) for i in ids], at
 
     def word(self, text: str) -> tuple[int, list[int]]:
-        """Score and ids between two forced breaks."""
-        best, back = self.path(text, {0: 0}, len(text), len(text))
-        return best[len(text)], self.trace(text, back, len(text))[0]
+        """Score and ids between two forced breaks: each start is extended while it is a prefix of a piece."""
+        n = len(text)
+        best, back = [NEVER] * (n + 1), [(0, 0)] * (n + 1)
+        best[0] = 0
+        prefixes, single = self.prefixes, self.single
+        for s in range(n):
+            here = best[s]
+            for e in range(s + 1, n + 1):
+                hit = prefixes.get(text[s:e])
+                if hit is None:
+                    break
+                if hit and here + hit[1] > best[e]:
+                    best[e], back[e] = here + hit[1], (s, hit[0])
+            if text[s] not in single and here + self.unk_score > best[s + 1]:
+                best[s + 1], back[s + 1] = here + self.unk_score, (s, None)
+        out, at = [], n
+        while at:
+            s, i = back[at]
+            if i is None:
+                out += reversed(self.unknown(text[s]))
+            else:
+                out.append(i)
+            at = s
+        return best[n], out[::-1]
 
     def count_word(self, text: str) -> int:
         """Number of pieces only: best score and count are carried forward together, nothing is traced.
@@ -256,16 +281,20 @@ class Segmenter:
 
 
 class _Memo(dict):
-    """Remembers results up to a bound, then starts anew."""
+    """Remembers results up to a bound: when it is full it becomes the old generation, out of which words that
+    come again are taken over; the words of the old generation before it are forgotten."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
         if len(self) >= MEMO:
+            self.old = dict(self)
             self.clear()
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= 64:
             self[key] = value
         return value
@@ -293,7 +322,10 @@ def count_tokens(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
     def run(batches):
         seg = segmenter(shared.value)
         for batch in batches:
-            n = [None if t is None else seg.count(t) for t in batch.column("text").to_pylist()]
+            texts, at, n = batch.column("text"), 0, []
+            for size in _runs(texts):
+                n += [None if t is None else seg.count(t) for t in texts.slice(at, size).to_pylist()]
+                at += size
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint")
@@ -308,36 +340,46 @@ def _id_lists(arrays: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(at, pa.array(values, pa.int32()))
 
 
-def _slices(rows, most: int = 1 << 21):
-    """Runs of rows of at most ``most`` characters together."""
-    group, size = [], 0
-    for row in rows:
-        if group and size + len(row[1] or "") > most:
-            yield group
-            group, size = [], 0
-        group.append(row)
-        size += len(row[1] or "")
-    if group:
-        yield group
+def _runs(texts: pa.Array, most: int = 1 << 21):
+    """Numbers of rows of runs whose texts have at most ``most`` bytes together (or are one text)."""
+    size = rows = 0
+    for n in pc.binary_length(texts).to_pylist():
+        if rows and size + (n or 0) > most:
+            yield rows
+            size = rows = 0
+        rows, size = rows + 1, size + (n or 0)
+    if rows:
+        yield rows
 
 
-def encode(docs: DataFrame, model_file: str = MODEL_FILE, giant: int = GIANT_CHARS, chunk: int = CHUNK_CHARS) -> DataFrame:
-    """(2) doc_id and ids array<int> of every whole text. Texts over ``giant`` characters go through chunks, once
-    per distinct text. NULL texts have NULL ids, empty ones no ids; repeated rows stay."""
+def encode(docs: DataFrame, model_file: str = MODEL_FILE, giant: int = GIANT_CHARS, chunk: int = CHUNK_CHARS, decoded: bool = False) -> DataFrame:
+    """(2) doc_id and ids array<int> of every whole text; with ``decoded`` also the text decoded from the ids, in the
+    same pass. Texts over ``giant`` characters go through chunks, once per distinct text. NULL texts have NULL
+    ids, empty ones no ids; repeated rows stay."""
     shared = docs.sparkSession.sparkContext.broadcast(load(model_file))
 
     def run(batches):
         seg = segmenter(shared.value)
         for batch in batches:
-            for rows in _slices(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())):
-                ids = [None if t is None else seg.encode(t) for _, t in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), _id_lists(ids)], ["doc_id", "ids"])
-
+            doc_ids, texts = batch.column("doc_id"), batch.column("text")
+            at = 0
+            for size in _runs(texts):
+                ids = [None if t is None else seg.encode(t) for t in texts.slice(at, size).to_pylist()]
+                out = [doc_ids.slice(at, size), _id_lists(ids)]
+                if decoded:
+                    out.append(pa.array([None if i is None else seg.decode(i) for i in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(out, names)
+                at += size
+
+    names = ["doc_id", "ids", "decoded"] if decoded else ["doc_id", "ids"]
     rows = docs.select("doc_id", "text")
-    small = rows.where(F.col("text").isNull() | (F.length("text") <= giant)).mapInArrow(run, "doc_id bigint, ids array<int>")
+    small = rows.where(F.col("text").isNull() | (F.length("text") <= giant)).mapInArrow(run, "doc_id bigint, ids array<int>" + (", decoded string" if decoded else ""))
     big = rows.where(F.length("text") > giant).withColumn("key", F.md5("text"))
     done = encode_giants(big.select("key", "text").dropDuplicates(["key"]), shared, chunk)
-    return small.unionByName(big.select("doc_id", "key").join(done, "key").select("doc_id", "ids"))
+    large = big.select("doc_id", "key").join(done, "key").select("doc_id", "ids")
+    if decoded:
+        large = decode(large, model_file, keep=("ids",)).withColumnRenamed("text", "decoded")
+    return small.unionByName(large)
 
 
 def encode_giants(texts: DataFrame, shared, chunk: int = CHUNK_CHARS) -> DataFrame:
@@ -445,6 +487,6 @@ def decode(encoded: DataFrame, model_file: str = MODEL_FILE, keep: tuple[str, ..
                 text = [seg.decode(flat[at[i] : at[i + 1]]) if valid[i] else None for i in range(lo, hi)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in names), pa.array(text, pa.string())], [*names, "text"])
 
-    rows = encoded.select(*names, "ids")
+    rows = encoded.select(*dict.fromkeys([*names, "ids"]))
     kinds = dict(rows.dtypes)
     return rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in [*names]) + ", text string")
