@@ -87,6 +87,22 @@ ORACLES: dict[str, str] = {
  c AS (SELECT x, min(y) m FROM r GROUP BY x), n AS (SELECT x, count(*) k FROM l GROUP BY x)
  SELECT vec_id, coalesce(k, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id <= coalesce(m, vec_id) AS kept
  FROM embeddings LEFT JOIN c ON c.x = vec_id LEFT JOIN n ON n.x = vec_id""",
+    "op7_chat_formatting": r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') r, coalesce(text, '') x FROM conversations
+   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+ t AS (SELECT *, len(regexp_extract_all(x, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) + 4 k, row_number() OVER (PARTITION BY conv_id ORDER BY turn, r, x) seq,
+   length(x) + length(regexp_replace(x, '[^\\\[<]', '', 'g')) + CASE r WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 14 + length(r) + length(regexp_replace(r, '[^\\\[<>]', '', 'g')) END size FROM c),
+ u AS (SELECT *, sum(k) OVER (PARTITION BY conv_id ORDER BY seq) e FROM t),
+ v AS (SELECT *, e - k s, (e - k) // 384 cell FROM u),
+ o AS (SELECT *, e - min(s) OVER (PARTITION BY conv_id, cell) > 384 alone FROM v),
+ p AS (SELECT *, CASE WHEN seq > 1 AND (cell <> lag(cell) OVER q OR alone <> lag(alone) OVER q) THEN 1 ELSE 0 END step FROM o WINDOW q AS (PARTITION BY conv_id ORDER BY seq)),
+ w AS (SELECT *, sum(step) OVER (PARTITION BY conv_id ORDER BY seq) win FROM p),
+ y AS (SELECT conv_id, min(seq) sys_seq, arg_min(win, seq) sys_win, arg_min(size, seq) sys_size FROM w WHERE r = 'system' GROUP BY conv_id),
+ z AS (SELECT *, max(e) OVER (PARTITION BY conv_id, win) last_e, max(win) OVER (PARTITION BY conv_id) last_win FROM w)
+ SELECT z.conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY seq)) AS turns_sha256,
+   coalesce(sum(length(x)) FILTER (r = 'assistant'), 0) AS loss_chars, sha256(coalesce(string_agg(x, '' ORDER BY seq) FILTER (r = 'assistant'), '')) AS loss_sha256,
+   sum(size) + coalesce(sum(size) FILTER (win < last_win AND last_e - s <= 96 AND seq IS DISTINCT FROM sys_seq), 0) + coalesce(any_value(sys_size * (last_win - sys_win)), 0) AS formatted_chars,
+   any_value(last_win) + 1 AS n_windows
+ FROM z LEFT JOIN y ON y.conv_id = z.conv_id GROUP BY z.conv_id""",
     "op10_minhash_near_dedup": """WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') t FROM documents),
  s AS (SELECT doc_id, CASE WHEN len(t) = 0 THEN [] WHEN len(t) = 1 THEN t ELSE list_distinct(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) END h FROM w),
  g AS (SELECT min(doc_id) doc_id, h, len(h) n FROM (SELECT doc_id, list_sort(h) h FROM s) WHERE len(h) > 0 GROUP BY h),

@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -80,35 +81,35 @@ def test_code_length_against_plain_model():
     model = langid.train(rows)
     text = b"abrazyq abra"
 
+    n = langid.ORDER
+    pad = lambda data: (256,) * n + tuple(data)  # noqa: E731  256 marks a text's start
+
+    def contexts(data):
+        for i in range(n, len(data)):
+            for k in range(n + 1):
+                yield data[i - k : i], data[i]
+
+    kept, both = {()}, Counter(c for _, d in rows for c, _ in contexts(pad(d)))
+    for c in sorted(both, key=len):
+        if c and both[c] >= langid.MIN_COUNT[len(c)] and c[1:] in kept:
+            kept.add(c)
+
     def plain(data):  # method C with exclusion, straight from the definition
-        counts = {}
-        for i in range(len(data)):
-            for k in range(langid.ORDER + 1):
-                if i - k >= 0:
-                    counts.setdefault(data[i - k : i], {}).setdefault(data[i], 0)
-                    counts[data[i - k : i]][data[i]] += 1
-        kept = {c for c in counts if len(c) == 0}
-        both = {}
-        for d in (r[1] for r in rows):
-            for i in range(len(d)):
-                for k in range(1, langid.ORDER + 1):
-                    if i - k >= 0:
-                        both[d[i - k : i]] = both.get(d[i - k : i], 0) + 1
-        for c in sorted(both, key=len):
-            if both[c] >= langid.MIN_COUNT[len(c)] and c[1:] in kept:
-                kept.add(c)
-        bits = 0.0
-        for i, b in enumerate(text):
-            k = max(k for k in range(min(i, langid.ORDER) + 1) if text[i - k : i] in kept)
-            gone = set()
+        counts: dict = {}
+        for c, s in contexts(pad(data)):
+            counts.setdefault(c, Counter())[s] += 1
+        bits, t = 0.0, pad(text)
+        for i in range(n, len(t)):
+            k = max(k for k in range(n + 1) if t[i - k : i] in kept)
+            gone: set = set()
             while True:
-                c = {s: n for s, n in counts.get(text[i - k : i], {}).items() if s not in gone}
-                n, d = sum(c.values()), len(c)
-                if b in c:
-                    bits -= math.log2(c[b] / (n + d))
+                c = {s: m for s, m in counts.get(t[i - k : i], {}).items() if s not in gone}
+                total, d = sum(c.values()), len(c)
+                if t[i] in c:
+                    bits -= math.log2(c[t[i]] / (total + d))
                     break
                 if d:
-                    bits -= math.log2(d / (n + d))
+                    bits -= math.log2(d / (total + d))
                 gone |= set(c)
                 if k == 0:
                     bits += math.log2(256 - len(gone))
