@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quarrylog.llm.common import by_value, fold
 
-SAMPLE_DOCS = 6000  # per label value; documented bound on what training gathers
+SAMPLE_DOCS = 2500  # per label value; documented bound on what training gathers
 SAMPLE_CHARS = 20_000
 LEXICON = 5000
 MIN_DOCS = 4
@@ -144,24 +144,31 @@ def train(rows: list[tuple[str, int]]) -> dict:
     n = Counter(y for _, y in rows)
     if not n[0] or not n[1]:
         return {"lexicon": {}, "weights": np.zeros(7), "bias": -6.0, "mean": np.zeros(7), "scale": np.ones(7)}
-    # evidence is counted in distinct preceding words: a passage copied into many documents is one piece of it
-    have: list[Counter] = [Counter(), Counter()]
-    found, pairs = [], [set(), set()]
+    # words that more toxic than clean documents have, by documents
+    seen: list[Counter] = [Counter(), Counter()]
     for t, y in rows:
-        words = WORD.findall(t.lower())
-        pairs[y].update(zip(words, ["", *words]))
-        found.append((set(words), y))
-    for y in (0, 1):
-        have[y].update(w for w, _ in pairs[y] if len(w) > 2)
+        seen[y].update({w for w in WORD.findall(t.lower()) if len(w) > 2})
     weigh = lambda a, b: math.log((a + 0.5) / (n[1] + 1)) - math.log((b + 0.5) / (n[0] + 1))
-    odds = {w: weigh(c, have[0][w]) for w, c in have[1].items() if c >= MIN_DOCS}
+    worth = {w for w, c in seen[1].items() if c >= MIN_DOCS and weigh(c, seen[0][w]) >= MIN_LOG_ODDS}
+    del seen
+    # then evidence is counted in distinct preceding words: a passage copied into many documents is one piece of it
+    before: dict[str, tuple[set, set]] = {w: (set(), set()) for w in worth}
+    found = []
+    for t, y in rows:
+        words = WORD.findall(t.lower())
+        for last, w in zip(["", *words], words):
+            if w in before:
+                before[w][y].add(last)
+        found.append(worth.intersection(words))
+    have = [{w: len(b[y]) for w, b in before.items()} for y in (0, 1)]
+    odds = {w: weigh(have[1][w], have[0][w]) for w in worth if have[1][w] >= MIN_DOCS}
     sure = {w: o - 1.65 * math.sqrt(1 / (have[1][w] + 0.5) + 1 / (have[0][w] + 0.5)) for w, o in odds.items()}
     top = sorted((w for w in odds if sure[w] >= MIN_LOG_ODDS), key=lambda w: (-odds[w] * have[1][w], w))[:LEXICON]
     lexicon = {w: odds[w] for w in top}
     machine, table = grammar(), symbols(lexicon)
     # a word's own document is left out of its weight, so that the model is not fitted to what it has seen
     x = []
-    for (text, y), (words, _) in zip(rows, found):
+    for (text, y), words in zip(rows, found):
         own = {w: weigh(have[1][w] - (y == 1), have[0][w] - (y == 0)) for w in words if w in lexicon}
         x.append(features(text, lexicon | own, table, machine) if own else features(text, lexicon, table, machine))
     x, y = np.array(x), np.array([y for _, y in rows], float)
