@@ -67,7 +67,7 @@ def q07_id_name_map(spark, d):
 
 
 def q08_point_lookup(spark, d):
-    """B4 (declared in the reference): equality on the key."""
+    """B4 (declared only): equality on the key."""
     return keyindex.point_lookup(table(spark, d, "orders"), "o_orderkey", 4242).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
