@@ -9,10 +9,11 @@ from quarrylog.llm import unigram
 
 def test_stages(spark, tmp_path):
     r = random.Random(9)
-    words = [f"word{i}" for i in range(300)]
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:03d}")
+    words = [f"word{name(i)}" for i in range(300)]
     text = lambda n: " ".join(r.choice(words) for _ in range(n))
     docs = [(i, text(60)) for i in range(120)]
-    toxic = [(200 + i, text(30) + f" w{i} idiot {text(5)} v{i} moron {text(5)} u{i} clown " + text(20)) for i in range(60)]
+    toxic = [(200 + i, text(30) + f" w{name(i)} idiot {text(5)} v{name(i)} moron {text(5)} u{name(i)} clown " + text(20)) for i in range(60)]
     item = text(25)
     leak = [(300, text(20) + " " + item + " " + text(20))]
     copy = [(400, docs[5][1] + " end"), (401, docs[5][1]), (-1, docs[6][1])]
