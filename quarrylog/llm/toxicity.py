@@ -22,7 +22,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from quarrylog.llm.common import by_value, fold
 
@@ -201,8 +201,8 @@ def score(docs: DataFrame, model: dict, held_out: int = 0, folds: int = 5, keep:
             p = 1 / (1 + np.exp(-np.clip((x - m["mean"]) / m["scale"] @ m["weights"] + m["bias"], -30, 30)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype("int32"))], [*names, "score", "predicted"])
 
-    kinds = dict(rows.dtypes)
-    out = rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names) + ", score double, predicted int")
+    schema = T.StructType([rows.schema[c] for c in names]).add("score", T.DoubleType()).add("predicted", T.IntegerType())
+    out = rows.mapInArrow(run, schema)
     return out.select("doc_id", "held_out", *[F.col(f"_{c}").alias(c) for c in keep], "score", "predicted")
 
 
@@ -214,6 +214,5 @@ def detect(docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int = 5
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, all their columns, that are not predicted toxic."""
     model = train(sample(docs, labels))
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    kept = score(docs, model, keep=others)
-    return kept.where("predicted = 0").select(*docs.columns)
+    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    return score(packed, model, keep=("row",)).where("predicted = 0").select("row.*")
