@@ -211,7 +211,7 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
         finer = deep.select("node", F.explode(_keys(depth)).alias("key"))
         votes = votes.unionByName(finer.join(_company(finer), "key").where("node <> leader").groupBy("node", "leader").agg((F.count("*") * F.lit(2)).alias("trees")))
     best = votes.groupBy("node", "leader").agg(F.sum("trees").alias("trees")).where(F.col("trees") >= SURE_TREES)
-    first = best.groupBy("node").agg(F.max_by("leader", F.struct("trees", "leader")).alias("b")).select(F.col("node").alias("a"), "b")
+    first = written(best.groupBy("node").agg(F.max_by("leader", F.struct("trees", "leader")).alias("b")).select(F.col("node").alias("a"), "b"), "pairs")
     sure = written(confirm(first, docs, reps, words, percent), "links")
 
     groups = components(sure)
@@ -219,9 +219,9 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     named = crowd.join(groups, "node", "left").select("node", "n_shingles", F.coalesce("component", "node").alias("comp"), F.explode("keys").alias("key"))
     mixed = written(named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "mixed")
     open_rows = written(named.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed, "key"), "open")
-    rest = compare(_blocks(open_rows, classes.select("node", "sig")), percent)
+    rest = written(compare(_blocks(open_rows, classes.select("node", "sig")), percent), "pairs")
     late = written(confirm(rest, docs, reps, words, percent), "links")
-    for table in (met, mixed, open_rows):
+    for table in (met, mixed, open_rows, first, rest):
         drop_written(table)
     return sure.unionByName(late)
 
@@ -241,14 +241,15 @@ def grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links of similarity >= percent %) and kept
     for every row. Texts that are NULL or have no words are linked with nothing and kept; rows of one set are
-    linked; rows with a NULL id have a NULL component and are kept. Repeated rows stay. Only doc_id and text are read."""
+    linked; rows with a NULL id have a NULL component and are kept, and a set that only such rows have is linked with
+    nothing. Repeated rows stay. Only doc_id and text are read."""
     rows = grouped(docs, words, percent).select("doc_id", "n_shingles", "component_id")
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents, all their columns, of which one of each group stays: that of the smallest id (NULL ids last; among
-    rows of one id, that of the smallest text hash). Of repeated rows one stays. Texts without words all
+    rows of one id, that of the smallest text hash). A set that only rows without an id have is linked with nothing. Of repeated rows one stays. Texts without words all
     stay but for repeated ones. Rows equal in id and text that differ in other columns count as repeated."""
     rows = grouped(docs, words, percent)
     key = ["doc_id", "text_hash"]
