@@ -1,15 +1,18 @@
 """PII (1): information-theoretic sanitisation, in DataFrame operations only.
 
 Base detectors mark e-mail addresses, IPv4 addresses, payment cards and phone numbers. A document's marked values are
-its protected entities. Words that give an entity away are found from the corpus: for a word t seen next to
-entity e, co(t, e) counts the documents where they stand together, df(t) all documents that have t, df(e) those that
-have e, N all documents; t discloses log2(co / df(t)) - log2(df(e) / N) bits about e. A word with at least
-``MIN_CO`` such documents in at least ``MIN_CONTEXTS`` different contexts (copies of one passage are one), a
-share co / df(t) of ``MIN_SHARE`` and ``MIN_BITS`` bits is replaced wherever it stands: generalised, or
-removed from ``REMOVE_SHARE`` on.
-
-Contexts come from marked documents only; df is one explode of all words that keeps candidates (broadcast if they are
-few, else joined), so nothing the size of the vocabulary is shuffled. Offsets are code points, ends exclusive.
+its protected entities. Words that give an entity away are found from the corpus: for a word t and an entity e,
+co(t, e) counts the documents that have both, however far apart, df(t) all documents that have t, df(e) those that
+have e, N all documents; t discloses log2(co / df(t)) - log2(df(e) / N) bits about e. All four count distinct ids, and
+a word is one that stands outside the marked values. A word with at least ``MIN_CO`` such documents, a share co / df(t)
+of ``MIN_SHARE``, ``MIN_BITS`` bits and at least ``MIN_CONTEXTS`` different passages (from the word to the value with
+``CONTEXT_CHARS`` on either side; copies of one passage are one) is replaced wherever it stands: generalised, or removed
+from ``REMOVE_SHARE`` on.
+
+Pairs come from the marked texts whose entities can pass MIN_CO and MIN_BITS at all; a word is paired if it can still pass
+MIN_SHARE, its documents among those texts being no more than df(t). Both reductions lose nothing. df is one explode of all
+words that keeps candidates (broadcast if they are few, else joined), so no vocabulary of all texts is shuffled. Offsets
+are code points, ends exclusive.
 Possessive patterns and look-behinds keep every detector linear on long runs.
 """
 
@@ -44,6 +47,7 @@ MIN_BITS = 4.0
 REMOVE_SHARE = 0.9
 BROADCAST_ROWS = 50_000
 NO_ID = -(2**63)
+ROUND = 1e-9
 
 
 def _located(text: Column, pattern: Column, kind: str) -> Column:
@@ -106,33 +110,76 @@ def _words(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda w: F.length(w) >= TERM_CHARS)
 
 
-def candidates(marked: DataFrame) -> DataFrame:
-    """(term, entity, co, df_entity) of words that often stand next to an entity."""
-    spans = marked.where(F.size("_base") > 0).select("_key", "_text", F.explode("_base").alias("s"))
-    before = F.substring(F.col("_text"), F.greatest(F.lit(1), F.col("s.start") + 1 - CONTEXT_CHARS), F.least(F.col("s.start"), F.lit(CONTEXT_CHARS)))
-    after = F.substring(F.col("_text"), F.col("s.end") + 1, F.lit(CONTEXT_CHARS))
-    # words cut by the window's border are left out with the first and last run of letters
-    near = F.concat(F.regexp_replace(before, r"^\p{L}+", ""), F.lit(" "), F.regexp_replace(after, r"\p{L}+$", ""))
-    contexts = written(spans.select("_key", _entity(F.col("s")).alias("entity"), near.alias("near")), "pii-contexts")
-    df_entity = contexts.select("entity", "_key").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
-    pairs = contexts.select("_key", "entity", F.xxhash64("near").alias("context"), F.explode(_words(F.col("near"))).alias("term"))
-    together = pairs.groupBy("term", "entity").agg(F.count_distinct("_key").alias("co"), F.count_distinct("context").alias("contexts"))
-    return together.where((F.col("co") >= MIN_CO) & (F.col("contexts") >= MIN_CONTEXTS)).join(df_entity, "entity")
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with a space for every marked value."""
 
+    def add(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.array_append(acc["out"], gap).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    rest = F.aggregate(spans, start, add, lambda acc: F.array_join(F.array_append(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))), " "))
+    return F.when(F.size(spans) > 0, rest).otherwise(text)
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """Broadcast behind a check of the number of rows; a plain join beyond it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _bits(co: Column, df: Column, df_entity: Column, n: int) -> Column:
+    return F.log2(co / df) - F.log2(df_entity / F.lit(n))
 
-def disclosing_terms(docs: DataFrame, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+
+def _passage(text: Column, spans: Column, term: Column, entity: Column) -> Column:
+    """The stretch of text that holds the first places of the word and the value, with its borders."""
+    at = F.length(F.get(F.split(text, F.concat(F.lit(r"(?iu)(?<!\p{L})"), term, F.lit(r"(?!\p{L})")), 2), F.lit(0)))
+    value = F.get(F.filter(spans, lambda s: _entity(s) == entity), F.lit(0))
+    start = F.greatest(F.lit(0), F.least(at, value["start"]) - CONTEXT_CHARS)
+    end = F.greatest(at + F.length(term), value["end"]) + CONTEXT_CHARS
+    return F.substring(text, start + 1, end - start)
+
+
+def candidates(marked: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(term, entity, co, df_entity) of words that may disclose an entity, by marked texts alone, and the places (_key,
+    _row, entity) and (_key, _row, term) of such entities and of all words beside them. _row is a hash of the row's text."""
+    ids = marked.select("_key", "_row", F.explode(F.array_distinct(F.transform("_base", _entity))).alias("entity")).distinct()
+    df_entity = ids.groupBy("entity").agg(F.count_distinct("_key").alias("df_entity"))
+    tied = (F.col("df_entity") >= MIN_CO) & (-F.log2(F.col("df_entity") / F.lit(n)) >= MIN_BITS - ROUND)
+    entities = written(ids.join(_few(df_entity.where(tied)), "entity"), "pii-entities")
+    texts = marked.join(_few(entities.select("_key", "_row").distinct()), ["_key", "_row"], "left_semi")
+    words = texts.select("_key", "_row", F.explode(_words(_outside(F.col("_text"), F.col("_base")))).alias("term"))
+    df_near = words.groupBy("term").agg(F.count_distinct("_key").alias("df_near")).where(F.col("df_near") >= MIN_CO)
+    often = words.join(_few(df_near), "term")
+    pairs = often.join(entities, ["_key", "_row"]).where(F.col("df_near") * MIN_SHARE <= F.col("df_entity"))
+    together = pairs.groupBy("term", "entity", "df_entity", "df_near").agg(F.count_distinct("_key").alias("co"))
+    over = (F.col("co") >= MIN_CO) & (F.col("co") >= F.col("df_near") * MIN_SHARE) & (_bits(F.col("co"), F.col("df_near"), F.col("df_entity"), n) >= MIN_BITS - ROUND)
+    return together.where(over).select("term", "entity", "co", "df_entity"), entities, words
+
+
+def disclosing_terms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(term, share, bits) of words over the thresholds, and the (_key, term) places of all candidates."""
-    found = written(candidates(marked), "pii-candidates")
-    names = found.select("term").distinct()
-    few = names.count() <= BROADCAST_ROWS
-    words = docs.select("_key", F.explode(_words(F.coalesce("text", F.lit("")))).alias("term"))
-    places = written(words.join(F.broadcast(names) if few else names, "term"), "pii-places")
-    df = places.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.count()
-    bits = F.log2(F.col("co") / F.col("df")) - F.log2(F.col("df_entity") / F.lit(n))
-    over = found.join(df, "term").select("term", F.least(F.lit(1.0), F.col("co") / F.col("df")).alias("share"), bits.alias("bits"))
-    over = over.where((F.col("share") >= MIN_SHARE) & (F.col("bits") >= MIN_BITS))
-    return over.groupBy("term").agg(F.max("share").alias("share"), F.max("bits").alias("bits")), places
+    n = docs.select("_key").distinct().count()
+    rows = mark(docs).select("_key", F.xxhash64("_text").alias("_row"), "_text", "_base")
+    marked = written(rows.where(F.size("_base") > 0), "pii-marked")
+    found, entities, near = candidates(marked, n)
+    found = written(found, "pii-candidates")
+    words = rows.select("_key", F.explode(_words(_outside(F.col("_text"), F.col("_base")))).alias("term"))
+    places = written(words.join(_few(found.select("term").distinct()), "term"), "pii-places")
+    df = places.groupBy("term").agg(F.count_distinct("_key").alias("df"))
+    bits = _bits(F.col("co"), F.col("df"), F.col("df_entity"), n)
+    over = found.join(df, "term").select("term", "entity", (F.col("co") / F.col("df")).alias("share"), bits.alias("bits"))
+    over = written(over.where((F.col("share") >= MIN_SHARE) & (F.col("bits") >= MIN_BITS)), "pii-over")
+    # the passages of what is left
+    held = near.join(_few(over.select("term", "entity")), "term").join(entities, ["_key", "_row", "entity"])
+    held = held.select("_key", "_row", "term", "entity").distinct().join(marked, ["_key", "_row"])
+    passages = held.select("term", "entity", F.xxhash64(_passage(F.col("_text"), F.col("_base"), F.col("term"), F.col("entity"))).alias("passage"))
+    several = passages.groupBy("term", "entity").agg(F.count_distinct("passage").alias("passages")).where(F.col("passages") >= MIN_CONTEXTS)
+    terms = over.join(several, ["term", "entity"]).groupBy("term").agg(F.max("share").alias("share"), F.max("bits").alias("bits"))
+    terms = written(terms, "pii-terms")
+    for done in (marked, entities, found, over):
+        drop_written(done)
+    return terms, places
 
 
 def _term_spans(text: Column, terms: Column) -> Column:
@@ -163,12 +210,10 @@ def sanitise(docs: DataFrame) -> DataFrame:
     words they are searched for, but spans are found in each row's own text; rows without an id count as one
     document. Repeated rows stay."""
     docs = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)))
-    terms, places = disclosing_terms(docs, mark(docs))
-    terms = written(terms, "pii-terms")
+    terms, places = disclosing_terms(docs)
     by_doc = places.join(terms, "term").groupBy("_key").agg(F.array_sort(F.collect_set(F.struct("term", "share"))).alias("_terms"))
     by_doc = written(by_doc, "pii-by-document")
-    few = by_doc.count() <= BROADCAST_ROWS
-    rows = mark(docs).join(F.broadcast(by_doc) if few else by_doc, "_key", "left")
+    rows = mark(docs).join(_few(by_doc), "_key", "left")
     rows = rows.withColumn("_spans", F.when(F.col("_terms").isNull(), F.col("_base")).otherwise(F.array_sort(F.concat("_base", _term_spans(F.col("_text"), F.col("_terms"))))))
     removed = F.coalesce(F.transform(F.filter("_terms", lambda t: t["share"] >= REMOVE_SHARE), lambda t: t["term"]), F.array().cast("array<string>"))
     rows = rows.withColumn("sanitised", F.when(F.col("text").isNotNull(), _replaced(F.col("_text"), F.col("_spans"), removed)))

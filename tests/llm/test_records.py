@@ -52,6 +52,20 @@ def test_disclosing_words(spark):
     assert pii.redact(copies.withColumn("n_chars", F.length("text").cast("bigint"))).where("doc_id = 1").first().n_chars == len("agent zorblax writes to [EMAIL]")
 
 
+def test_words_far_from_the_value_disclose(spark):
+    filler = lambda i: " ".join(f"plain text {'of' * (i % 5 + 1)} the day" for _ in range(12))
+    rows = [(i, f"Qwortle writes {filler(i)} regards ann@y.org") for i in range(6)] + [(10 + i, f"writes {filler(i)} regards") for i in range(300)]
+    # near in two documents, far in six: co and df are counted on one scope, and a text's first word is whole
+    rows += [(400 + i, f"Vextrum {filler(i) if i < 6 else i} carl@y.org") for i in range(8)]
+    # one long passage, copied into documents that differ elsewhere, ties nothing
+    rows += [(500 + i, f"{'ab' * i} {filler(i)} {'some ' * 30} Drimble {'some ' * 30} dora@y.org {'some ' * 30} {filler(i + 1)}") for i in range(6)]
+    rows += [(600, "here qwortle and Vextrum and Drimble")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    text = {r.doc_id: r.sanitised for r in pii.sanitise(docs.unionByName(docs.where("doc_id < 3"))).collect()}
+    assert text[600] == "here [TERM] and [TERM] and Drimble"
+    assert text[3] == f"[TERM] writes {filler(3)} regards [EMAIL]" and text[12] == rows[8][1]
+
+
 def turns_of(rows):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
     out = {}
