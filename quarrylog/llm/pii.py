@@ -35,7 +35,7 @@ PATTERNS = {
     "card": (r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,}+", lambda t: t.rlike(r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]")),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: t.contains("+")),
 }
-SPAN = "array<struct<start:int,end:int,ord:int,kind:string,value:string>>"
+SPAN = "array<struct<start:int,ord:int,end:int,kind:string,value:string>>"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 
 CONTEXT_CHARS = 64
@@ -57,7 +57,7 @@ def _located(text: Column, pattern: Column, kind: str) -> Column:
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["value"])
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("ord"), F.lit(kind).alias("kind"), x["value"].alias("value"))
+        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("ord"), end.alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
         return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
 
     pairs = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("value")), lambda x: x["value"].isNotNull())
@@ -204,7 +204,7 @@ def _replaced(text: Column, spans: Column, removed: Column) -> Column:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """All columns of docs, with ``base`` and ``spans`` (arrays of start, end, ord, kind, value) and ``sanitised``.
+    """All columns of docs, with ``base`` and ``spans`` (arrays of start, ord, end, kind, value) and ``sanitised``.
 
     NULL texts have no spans and stay NULL in ``sanitised``; empty texts stay empty. Rows that share an id share the
     words they are searched for, but spans are found in each row's own text; rows without an id count as one

@@ -38,6 +38,12 @@ def test_detectors_equal_plain_patterns(spark):
         assert row.spans == want  # no word is tied to an entity here
 
 
+def test_spans_of_one_start_go_by_kind(spark):
+    texts = ["+4915112345678@x.de", "1.2.3.4@host.com", "see 1.2.3.4@host.com or +4915112345678@x.de"]
+    for row in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect():
+        assert row.spans == base(texts[row.doc_id]) and row.base_sha256 == hashlib.sha256(row.spans.encode()).hexdigest()
+
+
 def test_disclosing_words(spark):
     rows = [(i, f"note {i} agent zorblax{'!' * i} writes to bob@x.org at noon {i}") for i in range(6)] + [(10 + i, f"plain text at noon {i} that writes") for i in range(300)]
     rows += [(900, "here Zorblax alone"), (None, None), (901, ""), (902, None), (900, "here Zorblax alone")]
