@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 
 def by_value(name: str) -> None:
@@ -53,6 +53,14 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(0))
 
 
+def draw(rows: DataFrame, by: str, most: int, chars: int) -> DataFrame:
+    """At most ``most`` rows(doc_id, _n, by) of each value of ``by``: texts of up to ``chars`` characters first, by a hash of
+    the id, then longer ones, the shortest first, while all together have no more than most * chars characters."""
+    order = [F.greatest("_n", F.lit(chars)), F.xxhash64("doc_id"), F.col("doc_id"), F.col("_n")]
+    ranked = rows.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("_r") <= most)
+    return ranked.withColumn("_sum", F.sum("_n").over(W.partitionBy(by).orderBy("_r"))).where(F.col("_sum") <= most * chars).drop("_r", "_sum")
+
+
 def process_cache() -> dict:
     """A dict that lives as long as the Python worker, whatever task runs in it."""
     return sys.__dict__.setdefault("_quarrylog_cache", {})

@@ -17,13 +17,13 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from quarrylog.llm.common import by_value, fold
+from quarrylog.llm.common import by_value, draw, fold
 
 ORDER = 3
 SAMPLE_DOCS = 400  # per language
-SAMPLE_CHARS = 20_000  # longer documents are not drawn for training
+SAMPLE_CHARS = 20_000  # longer documents are drawn only where a language has too few
 MAX_LANGS = 200
 MIN_COUNT = (1, 1, 3, 6)  # contexts of order k seen less often are cut
 MAX_NODES = 60_000
@@ -36,12 +36,17 @@ by_value(__name__)
 
 def sample(docs: DataFrame, held_out: int = 1, folds: int = 3) -> list[tuple[str, bytes]]:
     """A bounded training sample: whole texts of at most SAMPLE_DOCS documents per language, drawn by a
-    hash of the id among those outside the held-out fold."""
-    ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out)).select("doc_id", "lang")
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    drawn = ids.withColumn("_r", rank).where(F.col("_r") <= SAMPLE_DOCS).select("doc_id", "lang").limit(SAMPLE_DOCS * MAX_LANGS)
-    texts = docs.where(F.length("text").between(1, SAMPLE_CHARS)).select("doc_id", "lang", "text").join(F.broadcast(drawn.distinct()), ["doc_id", "lang"], "left_semi")
-    return [(r.lang, r.text.encode()) for r in texts.select("lang", "text").toLocalIterator()]
+    hash of the id among those outside the held-out fold. Texts of up to SAMPLE_CHARS characters come first; where a
+    language has too few, longer ones follow, the shortest first, as far as SAMPLE_DOCS * SAMPLE_CHARS characters go.
+    More than MAX_LANGS languages are an error."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & (fold(F.col("doc_id"), folds) != held_out))
+    texts = known.select("doc_id", "lang", F.length("text").alias("_n"), "text")
+    n = texts.select("lang").distinct().count()
+    if n > MAX_LANGS:
+        raise ValueError(f"{n} values of lang; at most {MAX_LANGS} can be learned")
+    drawn = draw(texts.select("doc_id", "lang", "_n"), "lang", SAMPLE_DOCS, SAMPLE_CHARS)
+    rows = texts.join(F.broadcast(drawn.distinct()), ["doc_id", "lang", "_n"], "left_semi")
+    return [(r.lang, r.text.encode()) for r in rows.select("lang", "text").toLocalIterator()]
 
 
 def train(rows: list[tuple[str, bytes]], order: int = ORDER) -> dict | None:

@@ -22,12 +22,12 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from quarrylog.llm.common import by_value, fold
+from quarrylog.llm.common import by_value, draw, fold
 
 SAMPLE_DOCS = 2500  # per label value; documented bound on what training gathers
-SAMPLE_CHARS = 20_000
+SAMPLE_CHARS = 20_000  # longer documents are drawn only where a value has too few
 LEXICON = 5000
 MIN_DOCS = 4
 MIN_LOG_ODDS = 1.0  # lower bound (one-sided 95 %) of a word's log odds
@@ -130,13 +130,14 @@ def features(text: str | None, lexicon: dict[str, float], table: dict[str, str],
 
 def sample(docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int = 5) -> list[tuple[str, int]]:
     """(text, toxic) of at most SAMPLE_DOCS labelled documents per value, outside the held-out fold. Several
-    labels of one document: the largest counts."""
+    labels of one document: the largest counts. Texts of up to SAMPLE_CHARS characters come first, by a hash of the id;
+    where a value has too few, longer ones follow, the shortest first, as far as SAMPLE_DOCS * SAMPLE_CHARS characters go."""
     one = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     one = one.where(fold(F.col("doc_id"), folds) != held_out)
-    rank = F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    drawn = one.withColumn("_r", rank).where(F.col("_r") <= SAMPLE_DOCS).select("doc_id", "toxic")
-    texts = docs.select("doc_id", "text").where(F.length("text").between(1, SAMPLE_CHARS)).join(F.broadcast(drawn), "doc_id")
-    return [(r.text, r.toxic) for r in texts.select("text", "toxic").orderBy("doc_id", "text").toLocalIterator()]
+    texts = docs.where(F.length("text") > 0).select("doc_id", F.length("text").alias("_n"), "text")
+    drawn = draw(one.join(texts.select("doc_id", "_n"), "doc_id"), "toxic", SAMPLE_DOCS, SAMPLE_CHARS)
+    rows = texts.join(F.broadcast(drawn.select("doc_id", "_n", "toxic").distinct()), ["doc_id", "_n"])
+    return [(r.text, r.toxic) for r in rows.select("text", "toxic").orderBy("doc_id", "text").toLocalIterator()]
 
 
 def train(rows: list[tuple[str, int]]) -> dict:

@@ -168,3 +168,26 @@ def test_toxicity_edges(spark):
     got = toxicity.detect(docs, none).collect()
     assert len(got) == 5 and all(r.predicted == 0 for r in got)
     assert toxicity.reject(docs, none).columns == docs.columns and toxicity.detect(docs.limit(0), none).count() == 0
+
+
+def test_long_texts_take_no_slots(spark, monkeypatch):
+    for module in (langid, toxicity):
+        monkeypatch.setattr(module, "SAMPLE_DOCS", 20)
+        monkeypatch.setattr(module, "SAMPLE_CHARS", 50)
+    short = [(i, f"short text {i}", "xx") for i in range(60)]
+    void = [(100 + i, None if i % 2 else "", "xx") for i in range(300)]
+    long = [(1000 + i, "long " * (20 + i % 7), "xx") for i in range(300)] + [(2000 + i, "only long " * (6 + i % 3), "yy") for i in range(9)]
+    docs = spark.createDataFrame(short + void + long, "doc_id bigint, text string, lang string")
+    drawn = langid.sample(docs)
+    assert Counter(k for k, _ in drawn)["xx"] == 20 and all(t.startswith(b"short") for k, t in drawn if k == "xx") and any(k == "yy" for k, _ in drawn)
+    labels = docs.select("doc_id", F.when(F.col("lang") == "yy", 0).otherwise(1).alias("toxic"))
+    rows = toxicity.sample(docs, labels)
+    assert Counter(y for _, y in rows)[1] == 20 and all(t.startswith("short") for t, y in rows if y) and any(y == 0 for _, y in rows)
+
+
+def test_too_many_languages_fail(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGS", 3)
+    docs = spark.createDataFrame([(i, "some text", f"l{i % 4}") for i in range(60)], "doc_id bigint, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.sample(docs)
+    assert {k for k, _ in langid.sample(docs.where("lang <> 'l0'"))} == {"l1", "l2", "l3"}
