@@ -191,3 +191,9 @@ def test_too_many_languages_fail(spark, monkeypatch):
     with pytest.raises(ValueError):
         langid.sample(docs)
     assert {k for k, _ in langid.sample(docs.where("lang <> 'l0'"))} == {"l1", "l2", "l3"}
+
+
+def test_sample_is_not_cut_to_fit(spark):
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    assert all(n > 3000 for n in Counter(y for _, y in toxicity.sample(docs, labels)).values())
