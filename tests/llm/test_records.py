@@ -138,3 +138,14 @@ def test_shards_edges(spark, tmp_path):
     assert store.read().count() == 0
     store.append(df)
     assert store.read().count() == 3 and store.compact() >= 2 and store.read().count() == 3
+
+
+def test_one_file_comes_in_four_arrivals(spark, tmp_path, monkeypatch):
+    rows = [(i if i % 9 else None, f"text {i}") for i in range(400)] + [(1, None), (1, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "one"))
+    sizes, append = [], shards.ShardStore.append
+    monkeypatch.setattr(shards.ShardStore, "append", lambda self, df: (sizes.append(df.count()), append(self, df))[1])
+    got = shards.report(spark.read.parquet(str(tmp_path / "one"))).collect()
+    assert len(sizes) == 4 and min(sizes) > 0 and sum(sizes) == len(rows) and got[0].version >= 4
+    digest = lambda t: None if t is None else hashlib.sha256(t.encode()).hexdigest()
+    assert sorted(map(str, ((r.doc_id, r.text_sha256) for r in got))) == sorted(map(str, ((i, digest(t)) for i, t in rows)))
