@@ -86,7 +86,11 @@ def _blocks(df: DataFrame) -> DataFrame:
 def matches(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, _key, item_id, first_word, similarity): per document and contaminating item the most similar window (the first
     among equals); first_word counts from 0. _key is a hash of the row's text. NULL or empty texts match
-    nothing; repeated rows count once; only doc_id, text and item_id, text are read."""
+    nothing; repeated rows count once; rows without an id are told by their texts; only doc_id, text and item_id, text
+    are read."""
+    kind = docs.schema["doc_id"].dataType
+    # joins meet no NULL: an id is carried as text behind a mark, a missing one as the empty text
+    docs = docs.select(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")).alias("doc_id"), "text")
     items, grams, weights, n = benchmark_index(benchmark, words)
     items = written(items, "items")
     rows = docs.select("doc_id", F.xxhash64("text").alias("_key"), words_of(F.col("text")).alias("w"))
@@ -135,14 +139,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, similarit
     rated = inter.join(sums, window).join(_few(items.select("item_id", "total")), "item_id")
     rated = rated.withColumn("similarity", F.col("both") / (F.col("total") + F.col("window_total") - F.col("both"))).where(F.col("similarity") >= similarity - ROUND)
     best = rated.groupBy(*keys).agg(F.max_by(F.struct(F.col("start").alias("first_word"), F.round("similarity", 6).alias("similarity")), F.struct(F.round("similarity", 6), -F.col("start"))).alias("m"))
-    found = written(best.select(*keys, "m.first_word", "m.similarity"), "matches")
+    own_id = F.when(F.col("doc_id") != "", F.substring("doc_id", 2, 1 << 30).cast(kind)).alias("doc_id")
+    found = written(best.select(own_id, "_key", "item_id", "m.first_word", "m.similarity"), "matches")
     for done in (hits, counted, starts):
         drop_written(done)
     return found
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per contaminated document and item."""
+    """One row per contaminated document and item; documents without an id share the rows of a NULL id."""
     return matches(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.min("first_word").alias("first_word"))
 
 

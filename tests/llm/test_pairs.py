@@ -145,6 +145,16 @@ def test_decontamination_exact(spark):
     assert decontam.report(df, bench.limit(0)).count() == 0 and decontam.report(df.limit(0), bench).count() == 0
 
 
+def test_contaminated_rows_without_an_id(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(None, f"before {item} after"), (None, "a clean text of some words"), (None, None), (-5, item), (7, "clean")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    assert sorted((str(r.doc_id), r.item_id, r.similarity) for r in decontam.report(docs, bench).collect()) == [("-5", 1, 1.0), ("None", 1, 1.0)]
+    kept = decontam.clean(docs, bench)
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(None, "a clean text of some words"), (None, None), (7, "clean")])
+    assert decontam.matches(docs, bench).schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+
+
 def test_blocks_cover_the_radius():
     assert sum(n for _, n in decontam.BLOCKS) == 64 and len(decontam.BLOCKS) == decontam.RADIUS + 1
     r = random.Random(1)
