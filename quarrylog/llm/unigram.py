@@ -15,9 +15,11 @@ characters found in no piece stand alone. At these forced breaks a text falls in
 and remembered (a bounded memory). The loader refuses a vocabulary without that property.
 
 Giant texts are cut into chunks by position. A piece may hang over a chunk's end, so a chunk maps the overhang
-at its start to the overhang at its end: a max-plus transfer matrix. Matrices are made side by side, combined
-associatively into the score vector before each chunk; with it each chunk is backtraced by itself, for
-every overhang it can end with; a last pass picks the one that the next chunk starts from.
+at its start to the overhang at its end: a max-plus transfer matrix. Matrices are made side by side and combined
+by a parallel scan: blocks of ``SCAN`` chunks are multiplied up side by side, the products of blocks are scanned in turn, level by
+level, and what stands before a block goes into it. With the score vector before it each chunk is backtraced by itself, for
+every overhang it can end with; a last pass picks the one that the next chunk starts from. A literal U+2581 is
+carried through a worker as a lone surrogate, which no text has, so no character is mistaken for another.
 """
 
 from __future__ import annotations
@@ -34,14 +36,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from quarrylog.llm.common import by_value, cached, written
+from quarrylog.llm.common import by_value, cached, drop_written, runs, written
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 SCALE = 1 << 16
 UNK_PENALTY = 10
-GIANT_CHARS = 65_536
-CHUNK_CHARS = 32_768
+GIANT_CHARS = 32_768
+CHUNK_CHARS = 16_384
+SCAN = 64  # matrices that one task multiplies up
+MARK = "\ud800"  # a literal U+2581 inside a worker
 SNAP_CHARS = 256  # a chunk's border moves to the first forced break within so many characters
 MEMO = 250_000  # words per generation, two generations
 NEVER = -(1 << 80)
@@ -99,9 +103,11 @@ class Segmenter:
         self.plain = "\n" not in self.known  # lines can be cut apart
         self.ids = _Memo(lambda w: struct.pack(f"<{len(ids := self.word(w)[1])}i", *ids))
         self.sizes = _Memo(self.count_word)
+        self.scored = _Memo(self.word, MEMO // 8)
 
     def unknown(self, c: str) -> list[int]:
         """Pieces of a character that is no piece: its bytes."""
+        c = SPACE if c == MARK else c
         byte = self.model["byte"]
         return [byte.get(b, self.model["unk"]) for b in c.encode()] if byte else [self.model["unk"]]
 
@@ -260,6 +266,13 @@ class Segmenter:
 
     def chunk_paths(self, text: str, start: int, end: int, entry: dict[int, int]):
         """For entry scores by overhang: (exit overhang, score, entry overhang, ids) per reachable exit."""
+        if set(entry) == {0} and (end == len(text) or self.forced(text, end)):  # nothing hangs over: word by word
+            score, ids = entry[0], []
+            for w in self.words(text[start:end].replace(SPACE, " ").replace(MARK, SPACE)):
+                s, own = (self.unk_score, self.unknown(SPACE)) if w is None else self.scored[w]
+                score += s
+                ids += own
+            return [(0, score, 0, ids)]
         body = text[start : end + self.longest - 1]
         size = end - start
         first = {i: s for i, s in entry.items() if i >= size}
@@ -284,12 +297,12 @@ class _Memo(dict):
     """Remembers results up to a bound: when it is full it becomes the old generation, out of which words that
     come again are taken over; the words of the old generation before it are forgotten."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = MEMO):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
-        if len(self) >= MEMO:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         value = self.old.get(key)
@@ -315,6 +328,42 @@ def compose(a: dict[int, dict[int, int]], b: dict[int, dict[int, int]]) -> dict[
     return out
 
 
+def _packed(matrix: dict[int, dict[int, int]]) -> str:
+    return ";".join(f"{i},{j},{s}" for i, row in matrix.items() for j, s in row.items())
+
+
+def _unpacked(text: str) -> dict[int, dict[int, int]]:
+    out: dict[int, dict[int, int]] = {}
+    for i, j, s in (map(int, cell.split(",")) for cell in filter(None, text.split(";"))):
+        out.setdefault(i, {})[j] = s
+    return out
+
+
+def scan_entries(matrices: DataFrame, block: int = SCAN) -> DataFrame:
+    """(key, k, before) of (key, k, matrix): the product of all matrices of a key before k, NULL for the first. A task
+    multiplies up ``block`` matrices; the products of the blocks are scanned the same way, so no task sees a whole key."""
+    rows = matrices.select("key", F.floor(F.col("k") / F.lit(block)).cast("int").alias("b"), "k", "matrix")
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        made = list(accumulate(map(_unpacked, pdf["matrix"]), compose))
+        last = [False] * (len(made) - 1) + [True]
+        return pd.DataFrame({"key": pdf["key"], "b": pdf["b"], "k": pdf["k"], "inner": [None, *map(_packed, made[:-1])], "whole": [_packed(m) if x else None for m, x in zip(made, last)]})
+
+    done = written(rows.groupBy("key", "b").applyInPandas(inside, "key string, b int, k int, inner string, whole string"), "scan")
+    blocks = done.where("whole IS NOT NULL").select("key", F.col("b").alias("k"), F.col("whole").alias("matrix"))
+    if not blocks.where("k > 0").limit(1).count():
+        return done.select("key", "k", F.col("inner").alias("before"))
+    outer = scan_entries(blocks, block).select("key", F.col("k").alias("b"), F.col("before").alias("outer"))
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            both = [o if i is None else i if o is None else _packed(compose(_unpacked(o), _unpacked(i))) for o, i in zip(pdf["outer"], pdf["inner"])]
+            yield pd.DataFrame({"key": pdf["key"], "k": pdf["k"], "before": both})
+
+    return done.join(outer, ["key", "b"]).select("key", "k", "outer", "inner").mapInPandas(join, "key string, k int, before string")
+
+
 def count_tokens(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
     """(8) doc_id and n_tokens of every whole text; NULL texts have NULL, empty ones 0. Rows stay one for one."""
     shared = docs.sparkSession.sparkContext.broadcast(load(model_file))
@@ -322,10 +371,9 @@ def count_tokens(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
     def run(batches):
         seg = segmenter(shared.value)
         for batch in batches:
-            texts, at, n = batch.column("text"), 0, []
-            for size in _runs(texts):
+            texts, n = batch.column("text"), []
+            for at, size in runs(texts):
                 n += [None if t is None else seg.count(t) for t in texts.slice(at, size).to_pylist()]
-                at += size
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint")
@@ -340,18 +388,6 @@ def _id_lists(arrays: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(at, pa.array(values, pa.int32()))
 
 
-def _runs(texts: pa.Array, most: int = 1 << 21):
-    """Numbers of rows of runs whose texts have at most ``most`` bytes together (or are one text)."""
-    size = rows = 0
-    for n in pc.binary_length(texts).to_pylist():
-        if rows and size + (n or 0) > most:
-            yield rows
-            size = rows = 0
-        rows, size = rows + 1, size + (n or 0)
-    if rows:
-        yield rows
-
-
 def encode(docs: DataFrame, model_file: str = MODEL_FILE, giant: int = GIANT_CHARS, chunk: int = CHUNK_CHARS, decoded: bool = False) -> DataFrame:
     """(2) doc_id and ids array<int> of every whole text; with ``decoded`` also the text decoded from the ids, in the
     same pass. Texts over ``giant`` characters go through chunks, once per distinct text. NULL texts have NULL
@@ -362,14 +398,12 @@ def encode(docs: DataFrame, model_file: str = MODEL_FILE, giant: int = GIANT_CHA
         seg = segmenter(shared.value)
         for batch in batches:
             doc_ids, texts = batch.column("doc_id"), batch.column("text")
-            at = 0
-            for size in _runs(texts):
+            for at, size in runs(texts):
                 ids = [None if t is None else seg.encode(t) for t in texts.slice(at, size).to_pylist()]
                 out = [doc_ids.slice(at, size), _id_lists(ids)]
                 if decoded:
                     out.append(pa.array([None if i is None else seg.decode(i) for i in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(out, names)
-                at += size
 
     names = ["doc_id", "ids", "decoded"] if decoded else ["doc_id", "ids"]
     rows = docs.select("doc_id", "text")
@@ -386,15 +420,19 @@ def encode_giants(texts: DataFrame, shared, chunk: int = CHUNK_CHARS) -> DataFra
     """(key, ids) of distinct (key, text) rows by chunks; see the module's text."""
 
     def cut(batches):
-        for batch in batches:
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-                # a literal mark would look like a space: it gets a stand-in that no piece has
-                norm = SPACE + text.replace(SPACE, "﷐").replace(" ", SPACE)
-                n = -(-len(norm) // chunk)
+        for part in (batch.slice(*run) for batch in batches for run in runs(batch.column("text"))):
+            for key, text in zip(part.column("key").to_pylist(), part.column("text").to_pylist()):
+                text = " " + text
+                n = -(-len(text) // chunk)
                 for k in range(n):
-                    low = max(0, k * chunk - 1)
-                    part = norm[low : (k + 1) * chunk + SNAP_CHARS + 64]
-                    yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([k], pa.int32()), pa.array([n], pa.int32()), pa.array([part])], ["key", "k", "n", "part"])
+                    yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([k], pa.int32()), pa.array([n], pa.int32()), pa.array([text[max(0, k * chunk - 1) : (k + 1) * chunk + SNAP_CHARS + 64]])], ["key", "k", "n", "part"])
+
+    def chunks(batches):
+        """Rows one by one, the text normalised: spaces become marks, literal marks another thing."""
+        for batch in batches:
+            for at in range(len(batch)):
+                row = {c: batch.column(c)[at].as_py() for c in batch.schema.names}
+                yield row | {"part": row["part"].replace(SPACE, MARK).replace(" ", SPACE)}
 
     parts = written(texts.mapInArrow(cut, "key string, k int, n int, part string").repartition("key", "k"), "chunks")
 
@@ -406,44 +444,31 @@ def encode_giants(texts: DataFrame, shared, chunk: int = CHUNK_CHARS) -> DataFra
 
     def matrices(batches):
         seg = segmenter(shared.value)
-        for batch in batches:
-            for key, k, n, part in zip(*(batch.column(c).to_pylist() for c in ("key", "k", "n", "part"))):
-                start, end = bounds(seg, k, n, part)
-                snapped = k == 0 or (start > 0 and seg.forced(part, start))
-                out = []
-                for i in range(1 if snapped else seg.longest):
-                    out += [(i, j, s) for j, s, _, _ in seg.chunk_paths(part, start, end, {i: 0}) if k < n - 1 or j == 0]
-                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([k], pa.int32()), pa.array([";".join(f"{i},{j},{s}" for i, j, s in out)])], ["key", "k", "matrix"])
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        # the chunks of one text: at most 2 GB / chunk, each with a small matrix
-        pdf = pdf.sort_values("k")
-        mats = []
-        for m in pdf["matrix"]:
-            rows: dict[int, dict[int, int]] = {}
-            for cell in filter(None, m.split(";")):
-                i, j, s = map(int, cell.split(","))
-                rows.setdefault(i, {})[j] = s
-            mats.append(rows)
-        before = [{0: 0}] + [p.get(0, {}) for p in list(accumulate(mats, compose))[:-1]]
-        return pd.DataFrame({"key": pdf["key"], "k": pdf["k"], "entry": [";".join(f"{i},{s}" for i, s in v.items()) for v in before]})
-
-    entries = parts.mapInArrow(matrices, "key string, k int, matrix string").groupBy("key").applyInPandas(scan, "key string, k int, entry string")
+        for row in chunks(batches):
+            key, k, n, part = row["key"], row["k"], row["n"], row["part"]
+            start, end = bounds(seg, k, n, part)
+            snapped = k == 0 or (start > 0 and seg.forced(part, start))
+            cells: dict = {}
+            for i in range(1 if snapped else seg.longest):
+                cells[i] = {j: s for j, s, _, _ in seg.chunk_paths(part, start, end, {i: 0}) if k < n - 1 or j == 0}
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([k], pa.int32()), pa.array([_packed(cells)])], ["key", "k", "matrix"])
+
+    done = written(parts.mapInArrow(matrices, "key string, k int, matrix string"), "matrices")
+    entries = scan_entries(done)
 
     def backtrace(batches):
         seg = segmenter(shared.value)
-        for batch in batches:
-            for key, k, n, part, entry in zip(*(batch.column(c).to_pylist() for c in ("key", "k", "n", "part", "entry"))):
-                start, end = bounds(seg, k, n, part)
-                states = {int(a): int(b) for a, b in (x.split(",") for x in entry.split(";"))}
-                mark = seg.unknown("﷐"), seg.unknown(SPACE)
-                for j, _, i, ids in seg.chunk_paths(part, start, end, states):
-                    if k == n - 1 and j:
-                        continue
-                    ids = _swap(ids, *mark) if "﷐" in part else ids
+        for row in chunks(batches):
+            key, k, n, part = row["key"], row["k"], row["n"], row["part"]
+            start, end = bounds(seg, k, n, part)
+            states = {0: 0} if row["before"] is None else _unpacked(row["before"])[0]
+            for j, _, i, ids in seg.chunk_paths(part, start, end, states):
+                if k < n - 1 or not j:
                     yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([k], pa.int32()), pa.array([i], pa.int32()), pa.array([j], pa.int32()), _id_lists([np.array(ids, "<i4")])], ["key", "k", "i", "j", "ids"])
 
     paths = written(parts.join(entries, ["key", "k"]).mapInArrow(backtrace, "key string, k int, i int, j int, ids array<int>"), "paths")
+    drop_written(parts)
+    drop_written(done)
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         back = {(k, j): i for k, i, j in zip(pdf["k"], pdf["i"], pdf["j"])}
@@ -458,19 +483,6 @@ def encode_giants(texts: DataFrame, shared, chunk: int = CHUNK_CHARS) -> DataFra
     return ordered.select("key", F.flatten(F.col("all.ids")).alias("ids"))
 
 
-def _swap(ids: list[int], old: list[int], new: list[int]) -> list[int]:
-    """The stand-in's byte pieces become those of the literal mark (as many, and found whole only there)."""
-    out, i = [], 0
-    while i < len(ids):
-        if ids[i : i + len(old)] == old:
-            out += new
-            i += len(old)
-        else:
-            out.append(ids[i])
-            i += 1
-    return out
-
-
 def decode(encoded: DataFrame, model_file: str = MODEL_FILE, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns of ``keep`` and text of (doc_id, ids); NULL ids give NULL."""
     shared = encoded.sparkSession.sparkContext.broadcast(load(model_file))
