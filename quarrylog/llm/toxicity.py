@@ -1,8 +1,9 @@
 """Toxicity (3): a weighted finite-state pattern grammar.
 
-Words of a clause are mapped to symbols: insult (I), threat verb (T), target (Y), modal (M), negation (N), reporting verb
-or quotation (R), other (O). Four transducers are composed into one machine that reads a clause once:
+Words of a clause are mapped to symbols: insulting word (I), threat verb (T), target (Y), modal (M), negation (N), reporting
+verb or quotation (R), other (O). Five transducers are composed into one machine that reads a clause once:
 
+* insult: an insulting word within three words of another one belongs to one phrase with it and weighs more;
 * negation: an insult or threat within three words of a negation is weakened;
 * reported speech: within eight words of a reporting verb or a quotation mark it is weakened;
 * threat: a threat verb counts only shortly after a modal, otherwise it is an ordinary word;
@@ -19,17 +20,20 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
+from typing import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
-from quarrylog.llm.common import by_value, draw, fold
+from quarrylog.llm.common import by_value, cached, draw, fold, runs
 
 SAMPLE_DOCS = 6000  # per label value; documented bound on what training gathers
 SAMPLE_CHARS = 20_000  # longer documents are drawn only where a value has too few
 LEXICON = 5000
 MIN_DOCS = 4
+LONG_CHARS = 1 << 20  # longer texts and clauses are read word by word, not as lists
 MIN_LOG_ODDS = 1.0  # lower bound (one-sided 95 %) of a word's log odds
 
 THREATS = frozenset("kill hurt destroy murder stab shoot strangle töten verletzen umbringen tuer blesser frapper matar golpear herir".split())
@@ -84,13 +88,20 @@ def window(triggers: str, span: int, effect: dict[str, tuple[str, float]], other
     return Transducer(arcs)
 
 
-def grammar() -> Transducer:
-    """Lower case marks a hedged match, X a threat, x a hedged one."""
+def parts() -> list[Transducer]:
+    """The transducers in their order. Lower case marks a hedged match, X a threat, x a hedged one."""
+    insult = window("I", 3, {})
+    for left in range(1, 4):
+        insult.arcs[left]["I"] = (3, "I", 1.25)
     negation = window("N", 3, {"I": ("i", 0.5), "T": ("t", 0.5)})
     reported = window("R", 8, {"I": ("i", 0.5), "T": ("t", 0.5), "i": ("i", 0.5), "t": ("t", 0.5)})
     threat = window("M", 4, {"T": ("X", 1.0), "t": ("x", 1.0)}, {"T": ("O", 1.0), "t": ("O", 1.0)})
     target = window("Y", 4, {s: (s, 1.5) for s in "IiXx"})
-    return negation @ reported @ threat @ target
+    return [insult, negation, reported, threat, target]
+
+
+def grammar() -> Transducer:
+    return reduce(Transducer.__matmul__, parts())
 
 
 def symbols(lexicon: dict[str, float]) -> dict[str, str]:
@@ -98,17 +109,35 @@ def symbols(lexicon: dict[str, float]) -> dict[str, str]:
     return table | dict.fromkeys(lexicon, "I")
 
 
+def _clauses(lower: str) -> Iterator[str]:
+    if len(lower) <= LONG_CHARS:
+        yield from CLAUSE.split(lower)
+        return
+    at = 0
+    for mark in CLAUSE.finditer(lower):
+        yield lower[at : mark.start()]
+        at = mark.end()
+    yield lower[at:]
+
+
 def features(text: str | None, lexicon: dict[str, float], table: dict[str, str], machine: Transducer) -> list[float]:
     """[sum, largest clause, hedged sum, aimed sum, threats, sum per root of words, any] of a whole text."""
     lower = (text or "").lower()
-    words = WORD.findall(lower)
-    if lexicon.keys().isdisjoint(words) and THREATS.isdisjoint(words):
-        return [0.0] * 7
+    if len(lower) <= LONG_CHARS:
+        words = WORD.findall(lower)
+        n = len(words)
+        if lexicon.keys().isdisjoint(words) and THREATS.isdisjoint(words):
+            return [0.0] * 7
+    else:
+        n = sum(1 for _ in WORD.finditer(lower))
     total = best = hedged = aimed = threats = 0.0
-    for clause in CLAUSE.split(lower):
-        tokens = WORD.findall(clause)
-        if lexicon.keys().isdisjoint(tokens) and THREATS.isdisjoint(tokens):
-            continue
+    for clause in _clauses(lower):
+        if len(clause) <= LONG_CHARS:
+            tokens = WORD.findall(clause)
+            if lexicon.keys().isdisjoint(tokens) and THREATS.isdisjoint(tokens):
+                continue
+        else:
+            tokens = (m.group() for m in WORD.finditer(clause))
         state, here = machine.start, 0.0
         for token in tokens:
             symbol = table.get(token, "O")
@@ -125,7 +154,7 @@ def features(text: str | None, lexicon: dict[str, float], table: dict[str, str],
         total += here
         best = max(best, here)
     strength = math.log1p(max(0.0, total + hedged))
-    return [strength, best, math.log1p(max(0.0, hedged)), math.log1p(max(0.0, aimed)), threats, (total + hedged) / math.sqrt(len(words) + 5), 1.0 if total + hedged > 0 else 0.0]
+    return [strength, best, math.log1p(max(0.0, hedged)), math.log1p(max(0.0, aimed)), threats, (total + hedged) / math.sqrt(n + 5), 1.0 if total + hedged > 0 else 0.0]
 
 
 def sample(docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int = 5) -> list[tuple[str, int]]:
@@ -186,25 +215,32 @@ def train(rows: list[tuple[str, int]]) -> dict:
     return {"lexicon": lexicon, "weights": w[:-1], "bias": float(w[-1]), "mean": mean, "scale": scale}
 
 
-def score(docs: DataFrame, model: dict, held_out: int = 0, folds: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted and the columns of ``keep`` for every document. Empty and NULL texts
-    get the score of a text without matches; repeated rows stay."""
+def rater(model: dict) -> Callable[[pa.Array], np.ndarray]:
+    """Scores of an array of texts; made once in a task."""
+    lexicon, table, machine = model["lexicon"], symbols(model["lexicon"]), cached(("toxicity",), grammar)
+
+    def rate(texts: pa.Array) -> np.ndarray:
+        x = np.array([features(t, lexicon, table, machine) for t in texts.to_pylist()]).reshape(-1, 7)
+        return 1 / (1 + np.exp(-np.clip((x - model["mean"]) / model["scale"] @ model["weights"] + model["bias"], -30, 30)))
+
+    return rate
+
+
+def score(docs: DataFrame, model: dict, held_out: int = 0, folds: int = 5) -> DataFrame:
+    """doc_id, held_out, score and predicted for every document. Empty and NULL texts get the score of a text without
+    matches; texts of any length are scored whole; repeated rows stay; other columns are not read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), *[F.col(c).alias(f"_{c}") for c in keep], F.col("text").alias("_body"))
-    names = ["doc_id", "held_out", *[f"_{c}" for c in keep]]
+    rows = docs.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "text")
 
-    def run(batches):
-        m = shared.value
-        lexicon = m["lexicon"]
-        table, machine = symbols(lexicon), grammar()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rate = rater(shared.value)
         for batch in batches:
-            x = np.array([features(t, lexicon, table, machine) for t in batch.column("_body").to_pylist()]).reshape(-1, 7)
-            p = 1 / (1 + np.exp(-np.clip((x - m["mean"]) / m["scale"] @ m["weights"] + m["bias"], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype("int32"))], [*names, "score", "predicted"])
+            for at, size in runs(batch.column("text")):
+                part = batch.slice(at, size)
+                p = rate(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype("int32"))], ["doc_id", "held_out", "score", "predicted"])
 
-    schema = T.StructType([rows.schema[c] for c in names]).add("score", T.DoubleType()).add("predicted", T.IntegerType())
-    out = rows.mapInArrow(run, schema)
-    return out.select("doc_id", "held_out", *[F.col(f"_{c}").alias(c) for c in keep], "score", "predicted")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def detect(docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int = 5) -> DataFrame:
@@ -213,7 +249,16 @@ def detect(docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int = 5
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents, all their columns, that are not predicted toxic."""
-    model = train(sample(docs, labels))
-    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    return score(packed, model, keep=("row",)).where("predicted = 0").select("row.*")
+    """The documents, all their columns, that are not predicted toxic. Rows pass through as Arrow; only texts become
+    Python objects, a run at a time. Repeated rows share a fate; NULL and empty texts stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(sample(docs, labels)))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rate = rater(shared.value)
+        for batch in batches:
+            for first, size in runs(batch.column(at)):
+                part = batch.slice(first, size)
+                yield part.filter(pa.array(rate(part.column(at)) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
