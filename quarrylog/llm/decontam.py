@@ -5,29 +5,39 @@ item's shingles, has a weighted-shingle similarity of 0.8 or more with it: the s
 weight * max(counts), a shingle's weight being ln(1 + items / items that have it). Words are runs of letters and
 digits, lower-cased; shingles are five words (an item with fewer words is one shingle of its own length).
 
-1. Shingle hashes of all documents meet the items' shingles (the one pass over all text). A window that is
-   similar enough holds at least 0.8 of its item's weight in such hits, so only starts that do are kept: lossless.
-2. A kept window gets a 64-bit SimHash of its weighted shingles, as every item has one. Fingerprints are cut into 28
-   blocks; two within Hamming distance 27 agree in a whole block (pigeonhole), so equal (size, block, value) finds
-   them all. Windows of similarity 0.8 lie about 10 bits apart, with deviation 3: beyond 27 with
-   probability below 1e-8.
+1. Shingle hashes of all documents meet the items' shingles (the one pass over all text). A window that is similar enough
+   to an item holds at least 0.8 of its weight in such hits, so of the windows that begin at a hit only those are kept
+   that hold so much of some item of their size. Which item is forgotten: that is for the fingerprints to find.
+   A window that begins between hits, moved on to the next one, keeps all hits; what comes in at its end
+   may weigh more than what went, so at the very threshold it can fall below it (tests measure recall over all windows).
+2. A kept window gets a 64-bit SimHash of its weighted shingles, as every item has one. Fingerprints are cut into 5
+   blocks of 12 or 13 bits. Two within Hamming distance 19 have a block in which they differ in 3 bits at most (pigeonhole),
+   so every item is indexed under all block values within 3 bits of its own (1,816 entries), and equal (size,
+   block, value) finds all pairs within the radius, and by chance about one pair in six. Windows of similarity 0.8 lie about 10
+   bits apart with deviation 3, so at the very threshold one in some thousand lies beyond 19; at 0.85 one in 1e5.
 3. The exact similarity of every pair within the radius decides.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarrylog.llm.common import drop_written, written
+from quarrylog.llm.common import drop_written, free_name, written
 
 WORDS = 5
 SIMILARITY = 0.8
-RADIUS = 27
+RADIUS = 19
 BITS = 64
 BROADCAST_ROWS = 500_000
+BROADCAST_ENTRIES = 50_000
 ROUND = 1e-9
-#: (first bit, number of bits) of RADIUS + 1 blocks that cover the fingerprint
-BLOCKS = [(k * BITS // (RADIUS + 1), (k + 1) * BITS // (RADIUS + 1) - k * BITS // (RADIUS + 1)) for k in range(RADIUS + 1)]
+PARTS = 5
+#: (first bit, number of bits) of the blocks of a fingerprint
+BLOCKS = [(k * BITS // PARTS, (k + 1) * BITS // PARTS - k * BITS // PARTS) for k in range(PARTS)]
+#: within RADIUS, some block differs in so many bits at most
+BLOCK_RADIUS = RADIUS // PARTS
 
 
 def words_of(text: Column) -> Column:
@@ -83,6 +93,13 @@ def _blocks(df: DataFrame) -> DataFrame:
     return df.select("*", F.posexplode(parts).alias("block", "value"))
 
 
+def _around(blocks: DataFrame) -> DataFrame:
+    """Every block value with all values within BLOCK_RADIUS bits of it."""
+    masks = [(k, sum(1 << b for b in bits)) for k, (_, n) in enumerate(BLOCKS) for m in range(BLOCK_RADIUS + 1) for bits in combinations(range(n), m)]
+    table = blocks.sparkSession.createDataFrame(masks, "block int, mask bigint")  # fewer than 2,000 rows
+    return blocks.join(F.broadcast(table), "block").withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, _key, item_id, first_word, similarity): per document and contaminating item the most similar window (the first
     among equals); first_word counts from 0. _key is a hash of the row's text. NULL or empty texts match
@@ -129,8 +146,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, similarit
 
     prints = _fingerprint([*window], counted.withColumn("v", F.col("weight") * F.col("c")))
     own = _fingerprint(["item_id", "size", "width"], grams.withColumn("v", F.col("weight") * F.col("c"))).withColumnRenamed("fp", "item_fp")
-    item_blocks = _blocks(own.withColumn("fp", F.col("item_fp"))).drop("fp")
-    near = _blocks(prints).join(_few(item_blocks), ["size", "width", "block", "value"])
+    item_blocks = _around(_blocks(own.withColumn("fp", F.col("item_fp"))).drop("fp"))
+    near = _blocks(prints).join(_few(item_blocks, BROADCAST_ENTRIES), ["size", "width", "block", "value"])
     near = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select(*window, "item_id").distinct()
 
     sums = counted.groupBy(*window).agg(F.sum(F.col("weight") * F.col("c")).alias("window_total"))
@@ -141,17 +158,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, similarit
     best = rated.groupBy(*keys).agg(F.max_by(F.struct(F.col("start").alias("first_word"), F.round("similarity", 6).alias("similarity")), F.struct(F.round("similarity", 6), -F.col("start"))).alias("m"))
     own_id = F.when(F.col("doc_id") != "", F.substring("doc_id", 2, 1 << 30).cast(kind)).alias("doc_id")
     found = written(best.select(own_id, "_key", "item_id", "m.first_word", "m.similarity"), "matches")
-    for done in (hits, counted, starts):
+    for done in (hits, counted, starts, grams, items):
         drop_written(done)
     return found
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per contaminated document and item; documents without an id share the rows of a NULL id."""
-    return matches(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.min("first_word").alias("first_word"))
+    """One row per contaminated document and item, the most similar window (the first among equals); texts that share an id,
+    or have none, share its rows."""
+    best = F.max_by(F.struct("similarity", "first_word"), F.struct(F.col("similarity"), -F.col("first_word"))).alias("m")
+    return matches(docs, benchmark).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.similarity", "m.first_word")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, all their columns, that no benchmark item contaminates."""
-    bad = matches(docs, benchmark).select(F.col("doc_id").alias("_doc"), F.col("_key").alias("_text")).distinct()
-    return docs.join(_few(bad), docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_text")), "left_anti")
+    """The documents, all their columns, whatever their names, that no benchmark item contaminates. Rows without an id are told
+    by their texts."""
+    row_id, row_text = free_name(docs, "_doc"), free_name(docs, "_key")
+    bad = matches(docs, benchmark).select(F.col("doc_id").alias(row_id), F.col("_key").alias(row_text)).distinct()
+    return docs.join(_few(bad), docs["doc_id"].eqNullSafe(F.col(row_id)) & (F.xxhash64(docs["text"]) == F.col(row_text)), "left_anti")
