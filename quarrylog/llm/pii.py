@@ -204,11 +204,26 @@ def _replaced(text: Column, spans: Column, removed: Column) -> Column:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """All columns of docs, with ``base`` and ``spans`` (arrays of start, ord, end, kind, value) and ``sanitised``.
+    """All columns of docs, with ``base`` and ``spans`` (arrays of start, ord, end, kind, value) and ``sanitised``, which take
+    the place of columns of these names; columns of any other name stay as they are.
 
     NULL texts have no spans and stay NULL in ``sanitised``; empty texts stay empty. Rows that share an id share the
     words they are searched for, but spans are found in each row's own text; rows without an id count as one
     document. Repeated rows stay."""
+    found = _searched(docs)
+    own = [c for c in docs.columns if c not in ("base", "spans", "sanitised")]
+    return found.select(*[_held(docs, c).alias(c) for c in own], F.col("_base").alias("base"), F.col("_spans").alias("spans"), "sanitised")
+
+
+def _held(docs: DataFrame, name: str) -> Column:
+    """Where _searched() keeps a column of docs."""
+    return F.col(name) if name in ("doc_id", "text") else F.col(f"user{docs.columns.index(name)}")
+
+
+def _searched(docs: DataFrame) -> DataFrame:
+    """doc_id, text, the other columns under numbers (so that no name clashes), _base, _spans and sanitised."""
+    others = [F.col(f"`{c}`").alias(f"user{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
+    docs = docs.select("doc_id", "text", *others)
     docs = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)))
     terms, places = disclosing_terms(docs)
     by_doc = places.join(terms, "term").groupBy("_key").agg(F.array_sort(F.collect_set(F.struct("term", "share"))).alias("_terms"))
@@ -218,8 +233,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
     removed = F.coalesce(F.transform(F.filter("_terms", lambda t: t["share"] >= REMOVE_SHARE), lambda t: t["term"]), F.array().cast("array<string>"))
     rows = rows.withColumn("sanitised", F.when(F.col("text").isNotNull(), _replaced(F.col("_text"), F.col("_spans"), removed)))
     drop_written(places)
-    kept = [c for c in docs.columns if c not in ("_key", "base", "spans", "sanitised")]
-    return rows.select(*kept, F.col("_base").alias("base"), F.col("_spans").alias("spans"), "sanitised")
+    drop_written(terms)
+    return rows
 
 
 def span_text(spans: Column) -> Column:
@@ -235,6 +250,6 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents with sanitised texts; n_chars follows the text where it is a column."""
-    rows = sanitise(docs).select(*[F.col("sanitised").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    """The documents, all their columns whatever their names, with sanitised texts; n_chars follows the text where it is a column."""
+    rows = _searched(docs).select(*[F.col("sanitised").alias("text") if c == "text" else _held(docs, c).alias(c) for c in docs.columns])
     return rows.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else rows
