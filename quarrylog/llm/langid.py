@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quarrylog.llm.common import by_value, draw, fold
+from quarrylog.llm.common import alone, by_value, draw, fold, runs
 
 ORDER = 3
 SAMPLE_DOCS = 400  # per language
@@ -29,11 +29,17 @@ MIN_COUNT = (1, 1, 3, 6)  # contexts of order k seen less often are cut
 MAX_NODES = 60_000
 SLICE = 1 << 21
 COST_ONE = 1 << 16
-LETTER = re.compile(r"[^\W\d_]")
+TABLE_BYTES = 192 << 20  # of code lengths of all languages: with many of them the trees get fewer contexts
+_ALNUM = re.compile(r"[^\W\d_]+")
 
 by_value(__name__)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter (\\p{L}); numbers such as fractions and numerals are none."""
+    return any(m.group().isalpha() or any(map(str.isalpha, m.group())) for m in _ALNUM.finditer(text))
+
+
 def sample(docs: DataFrame, held_out: int = 1, folds: int = 3) -> list[tuple[str, bytes]]:
     """A bounded training sample: whole texts of at most SAMPLE_DOCS documents per language, drawn by a
     hash of the id among those outside the held-out fold. Texts of up to SAMPLE_CHARS characters come first; where a
@@ -77,7 +83,7 @@ def train(rows: list[tuple[str, bytes]], order: int = ORDER) -> dict | None:
             grams[k][lang] = np.unique(key + s[here], return_counts=True)
     # contexts kept: frequent ones of each order whose shorter context is kept (context value = symbols, nearest lowest)
     nodes: list[np.ndarray] = [np.zeros(1, np.int64)]
-    room = MAX_NODES
+    room = min(MAX_NODES, TABLE_BYTES // (4 * len(langs) * (a + 1)))
     for k in range(1, order + 1):
         allk = np.concatenate([g[0] // base for g in grams[k].values()])
         n = np.concatenate([g[1] for g in grams[k].values()])
@@ -207,11 +213,12 @@ def predict(docs: DataFrame, model: dict | None, held_out: int = 1, folds: int =
     rows = docs.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("langid")
         m = shared.value
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
+        for part in (batch.slice(*run) for batch in batches for run in runs(batch.column("text"))):
+            texts = part.column("text").to_pylist()
             named, sure, rate = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-            use = [i for i, t in enumerate(texts) if m and t and LETTER.search(t)]
+            use = [i for i, t in enumerate(texts) if m and t and has_letter(t)]
             if use:
                 raw = [texts[i].encode() for i in use]
                 bits = code_lengths(m, raw) / COST_ONE
@@ -219,7 +226,7 @@ def predict(docs: DataFrame, model: dict | None, held_out: int = 1, folds: int =
                 gap = np.minimum(bits - bits[np.arange(len(use)), best][:, None], 1000)
                 for i, b, p, x in zip(use, best, 1 / np.exp2(-gap).sum(1), bits.min(1) / [len(r) for r in raw]):
                     named[i], sure[i], rate[i] = m["langs"][b], p, x
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(named, pa.string()), pa.array(sure), pa.array(rate)], ["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(named, pa.string()), pa.array(sure), pa.array(rate)], ["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
 
     return rows.mapInArrow(score, "doc_id bigint, held_out boolean, lang_pred string, score double, bits_per_byte double")
 
