@@ -2,13 +2,14 @@
 
 1. Every text becomes its set of w-word shingles (64-bit hashes) and a signature of 128 minima. Texts with one set are
    one class; later steps see a class once, however many copies it has.
-2. The forest has 32 orders of the signature (order t starts at minimum 4t and runs on cyclically). A region is a
-   prefix of an order; classes that share a region are candidates. The first depth is 4 minima: two sets of
-   similarity 0.8 miss each other in all 32 orders with probability 5e-8. Regions with many classes are
-   deepened (to 8 minima), which brings the nearest classes, those of the longest common
-   prefix, together first.
-3. Every class is checked, on full sets, against the smallest class of the regions it shares most often, deepest first.
-   Components of these links settle nearly all regions.
+2. The forest has 32 orders of the signature (order t starts at minimum 4t and runs on cyclically). Classes that share
+   the first 4 minima of an order are candidates: two sets of similarity 0.8 miss each other in all 32 orders
+   with probability 5e-8. Classes with such company are sorted in every order (range-partitioned by the
+   order's minima, so that no region has to fit a task), and a pass over the sorted rows gives each class its neighbour of
+   the longest common prefix and its region's leader. Depth adapts to the region: a run of more than ``CROWD`` classes
+   with one prefix is split by the next minimum, again and again, up to ``DEEPEST`` minima.
+3. Every class is checked, on full sets, against the leader it shares most prefix with, and against its nearest
+   neighbour where leaders do not bring the two together. Components of these links settle nearly all regions.
 4. What a region still holds of different components is compared signature by signature, in cells of bounded size
    (a region of any size is cut into blocks, and every pair of blocks is a cell): pairs of at least 60 % equal minima
    (a pair of similarity 0.8 falls short with probability 3e-8) are checked on full sets. So no candidate of the
@@ -20,6 +21,7 @@ Sets are checked as streams: tasks hold the set of one leader at a time.
 
 from __future__ import annotations
 
+import re
 from typing import Iterator
 
 import numpy as np
@@ -27,19 +29,22 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarrylog.llm.common import by_value, drop_written, written
+from quarrylog.llm.common import alone, by_value, drop_written, free_name, runs, written
 from quarrylog.llm.components import components
 
 MINIMA = 128
 TREES = 32
 DEPTH = 4
-DEPTHS = (4, 8)
-CROWD = 32  # a region with more classes gets the next depth
-SURE_TREES = 6
+DEEPEST = 12
+CROWD = 32  # a region with more classes is split by the next minimum
+SURE_MINIMA = 24  # of an order, shared in all orders together
+HELD_ROWS = 65_536  # rows of a region held at once; a longer one is read in parts
 EST_MIN = 77  # of 128 equal minima
 CELL = 512
 FAN = 256  # members that share one copy of their leader's text
 BROADCAST_IDS = 300_000
+BLANK = re.compile(rb"[ \t-\r]")
+PIECE_BYTES = 1 << 20
 
 by_value(__name__)
 
@@ -51,10 +56,15 @@ FLIP = _rng.integers(0, 2**32, MINIMA, dtype=np.uint64).astype(np.uint32)
 def shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's word shingles; A-Z are lower-cased, words end at space, \\t, \\n, \\v,
     \\f or \\r. Fewer words than a shingle has: the whole sequence as one. No words: empty."""
-    tokens = (text or "").encode().lower().split()
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
+    raw, at, parts = (text or "").encode().lower(), 0, []
+    while at < len(raw):  # in pieces, so that a very long text is never a list of words
+        cut = BLANK.search(raw, at + PIECE_BYTES) if at + PIECE_BYTES < len(raw) else None
+        tokens = raw[at : cut.start() if cut else len(raw)].split()
+        parts.append(np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens)))
+        at = cut.start() if cut else len(raw)
+    h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    if not len(h):
+        return h
     width = min(words, len(h))
     out = h[: len(h) - width + 1].copy()
     for k in range(1, width):
@@ -84,14 +94,15 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, digest (128 bits, of the set; NULL without shingles) and sig of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("neardup")
         for batch in batches:
             text = batch.column("text")
-            for at in range(0, len(text), 256):
-                sets = [shingles(t, words) for t in text.slice(at, 256).to_pylist()]
+            for at, size in runs(text):
+                sets = [shingles(t, words) for t in text.slice(at, size).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(at, 256),
-                        batch.column("text_hash").slice(at, 256),
+                        batch.column("doc_id").slice(at, size),
+                        batch.column("text_hash").slice(at, size),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array([signature(s).astype("<u4").tobytes() if len(s) else None for s in sets], pa.binary()),
@@ -103,15 +114,88 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, digest binary, sig binary")
 
 
-def _keys(depth: int) -> Column:
-    """The regions of a signature at one depth: a hash of the prefix and the order, for every order."""
-    whole = F.concat("sig", F.substring("sig", 1, 4 * (DEPTHS[-1] - 1)))
-    return F.array(*[F.xxhash64(F.substring(whole, 4 * DEPTH * t + 1, 4 * depth), F.lit(t)) for t in range(TREES)])
+def _whole() -> Column:
+    """The signature with its beginning repeated, so that every order is a substring."""
+    return F.concat("sig", F.substring("sig", 1, 4 * (DEEPEST - DEPTH)))
+
+
+def _keys() -> Column:
+    """The regions of a signature at the first depth: a hash of the prefix and the order, for every order."""
+    return F.array(*[F.xxhash64(F.substring("sig", 4 * DEPTH * t + 1, 4 * DEPTH), F.lit(t)) for t in range(TREES)])
+
+
+def neighbours(prefix: np.ndarray, tree: np.ndarray, node: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """Of rows sorted by (tree, prefix), prefixes being rows of minima: (node, other, shared minima, whether the other leads)
+    of every class and its adaptive region's leader, and of every class and its neighbour of the longest common prefix."""
+    same = prefix[1:] == prefix[:-1]
+    shared = np.where(same.all(1), prefix.shape[1], same.argmin(1))
+    shared[(tree[1:] != tree[:-1]) | (shared < DEPTH)] = 0
+    before, after = np.append(0, shared), np.append(shared, 0)
+    near = np.maximum(before, after)
+    has = np.flatnonzero(near)
+    other = np.where(before >= after, np.roll(node, 1), np.roll(node, -1))
+    out = [(node[has], other[has], near[has], np.zeros(len(has), bool))]
+    ends = np.flatnonzero(shared == 0) + 1
+    todo = [(lo, hi, DEPTH) for lo, hi in zip(np.append(0, ends).tolist(), np.append(ends, len(node)).tolist()) if hi - lo > 1]
+    while todo:
+        lo, hi, depth = todo.pop()
+        if hi - lo <= CROWD or depth == prefix.shape[1]:
+            own = node[lo:hi]
+            out.append((own, np.full(hi - lo, own.min()), np.full(hi - lo, depth), np.ones(hi - lo, bool)))
+            continue
+        cuts = [lo, *(np.flatnonzero(shared[lo : hi - 1] <= depth) + lo + 1).tolist(), hi]
+        todo += [(a, b, depth + 1) for a, b in zip(cuts, cuts[1:]) if b - a > 1]
+    return out
+
 
+def forest(ordered: DataFrame) -> DataFrame:
+    """(node, other, shared, leads) of rows(tree, prefix, node): the candidates of all sorted orders, with the minima that
+    the two share in all orders together. Ranges of an order are read side by side; a pair that a range's border
+    parts is only missing in that order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def table(parts):
+            node, other, shared, leads = (np.concatenate(x) for x in zip(*parts))
+            keep = node != other
+            return pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(other[keep]), pa.array(shared[keep].astype(np.int64)), pa.array(leads[keep])], ["node", "other", "shared", "leads"])
 
-def _company(regions: DataFrame) -> DataFrame:
-    """(key, leader, size) of regions(key, node) with more than one class."""
-    return regions.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
+        alone("neardup")
+        held = (np.zeros((0, DEEPEST), np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for batch in batches:
+            new = (np.frombuffer(b"".join(batch.column("prefix").to_pylist()), "<u4").reshape(-1, DEEPEST), batch.column("tree").to_numpy().astype(np.int64), batch.column("node").to_numpy())
+            prefix, tree, node = (np.concatenate(x) for x in zip(held, new))
+            # the last region may go on in the next batch
+            broken = np.flatnonzero((tree[1:] != tree[:-1]) | (prefix[1:, :DEPTH] != prefix[:-1, :DEPTH]).any(1))
+            cut = broken[-1] + 1 if len(broken) else 0
+            if len(node) - cut > HELD_ROWS:
+                cut = len(node)
+            if cut:
+                yield table(neighbours(prefix[:cut], tree[:cut], node[:cut]))
+            held = (prefix[cut:], tree[cut:], node[cut:])
+        if len(held[2]):
+            yield table(neighbours(*held))
+
+    rows = ordered.select("tree", "prefix", "node").repartitionByRange("tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node")
+    found = rows.mapInArrow(run, "node bigint, other bigint, shared bigint, leads boolean")
+    return found.groupBy("node", "other", "leads").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= SURE_MINIMA)
+
+
+def _proposed(votes: DataFrame) -> DataFrame:
+    """Pairs (a, b) to check first: each class with its best leader, and with its nearest neighbour where the leaders of
+    the two do not bring them together."""
+    best = votes.groupBy("node", "leads").agg(F.max_by("other", F.struct("shared", -F.col("other"))).alias("other"))
+    best = written(best, "best")
+    lead = best.where("leads").select("node", F.col("other").alias("leader"))
+    near = best.where("NOT leads").select(F.greatest("node", "other").alias("x"), F.least("node", "other").alias("y")).distinct()
+    for c, to in (("x", "lx"), ("y", "ly")):
+        near = near.join(lead.select(F.col("node").alias(c), F.col("leader").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
+    apart = near.where("lx <> ly").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return lead.select(F.col("node").alias("a"), F.col("leader").alias("b")).unionByName(apart).distinct()
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """Broadcast behind a check of the number of rows; a plain join beyond it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
@@ -123,17 +207,17 @@ def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, perc
     leaders = fans.select(F.lit(None).cast("bigint").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan"))
     reps = reps.select("node", "rep", "digest")
     asked = members.select(F.col("a").alias("node"), "a", "b", "fan").unionByName(leaders.select(F.col("b").alias("node"), "a", "b", "fan"))
-    need = asked.select("node").distinct().join(reps, "node")
+    asked = written(asked.join(reps, "node").select("rep", "digest", "a", "b", "fan"), "asked")
     rows = docs.select(F.col("doc_id").alias("rep"), "text").where(F.col("rep").isNotNull())
-    texts = rows.join(F.broadcast(need) if need.count() <= BROADCAST_IDS else need, "rep").select("node", "digest", "text")
-    placed = asked.join(texts, "node").repartition("b", "fan").sortWithinPartitions("b", "fan", F.col("a").asc_nulls_first())
+    texts = rows.join(_few(asked), "rep")
+    placed = texts.repartition("b", "fan").sortWithinPartitions("b", "fan", F.col("a").asc_nulls_first())
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("neardup")
         group, leader = None, None
-        for batch in batches:
+        for part in (batch.slice(*run) for batch in batches for run in runs(batch.column("text"))):
             out: list[tuple] = []
-            columns = [batch.column(c).to_pylist() for c in ("digest", "a", "b", "fan", "text")]
-            for digest, a, b, fan, text in zip(*columns):
+            for digest, a, b, fan, text in zip(*(part.column(c).to_pylist() for c in ("digest", "a", "b", "fan", "text"))):
                 s = shingles(text, words)
                 if xxhash.xxh3_128_digest(s.tobytes()) != digest:
                     continue  # another text under a shared id
@@ -161,6 +245,7 @@ def compare(cells: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components within a cell whose sizes and signatures allow the similarity."""
 
     def run(batches):
+        alone("neardup")
         group, nodes, comps, counts, sigs = None, [], [], [], []
 
         def flush():
@@ -202,26 +287,22 @@ def classes_of(rows: DataFrame) -> DataFrame:
 def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) between classes that connect all that is linked (not every pair of a component)."""
     reps = classes.where("rep IS NOT NULL")
-    regions = classes.select("node", F.explode(_keys(DEPTHS[0])).alias("key"))
-    met = written(regions.join(_company(regions), "key"), "met")  # rows of regions with company
-    votes = met.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("trees"))
-    # crowded regions are deepened: their classes meet the leader of their longest shared prefix as well
-    deep = classes.join(met.where(F.col("size") > CROWD).select("node").distinct(), "node", "left_semi")
-    for depth in DEPTHS[1:]:
-        finer = deep.select("node", F.explode(_keys(depth)).alias("key"))
-        votes = votes.unionByName(finer.join(_company(finer), "key").where("node <> leader").groupBy("node", "leader").agg((F.count("*") * F.lit(2)).alias("trees")))
-    best = votes.groupBy("node", "leader").agg(F.sum("trees").alias("trees")).where(F.col("trees") >= SURE_TREES)
-    first = written(best.groupBy("node").agg(F.max_by("leader", F.struct("trees", "leader")).alias("b")).select(F.col("node").alias("a"), "b"), "pairs")
+    regions = classes.select("node", F.posexplode(_keys()).alias("tree", "key"))
+    company = written(regions.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), "company")
+    placed = classes.select("node", F.posexplode(_keys()).alias("tree", "key"), _whole().alias("whole"))
+    prefix = F.expr(f"substring(whole, {4 * DEPTH} * tree + 1, {4 * DEEPEST})").alias("prefix")
+    met = written(placed.join(_few(company), "key").select("node", "tree", "key", prefix), "met")  # rows of regions with company
+    first = written(_proposed(forest(met)), "pairs")
     sure = written(confirm(first, docs, reps, words, percent), "links")
 
     groups = components(sure)
-    crowd = classes.select("node", "n_shingles", _keys(DEPTHS[0]).alias("keys")).join(met.select("node").distinct(), "node", "left_semi")
-    named = crowd.join(groups, "node", "left").select("node", "n_shingles", F.coalesce("component", "node").alias("comp"), F.explode("keys").alias("key"))
+    named = met.join(_few(groups), "node", "left").select("node", "key", F.coalesce("component", "node").alias("comp"))
     mixed = written(named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "mixed")
-    open_rows = written(named.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed, "key"), "open")
+    open_rows = named.join(_few(mixed), "key")
+    open_rows = written(open_rows.join(classes.select("node", "n_shingles"), "node"), "open")
     rest = written(compare(_blocks(open_rows, classes.select("node", "sig")), percent), "pairs")
     late = written(confirm(rest, docs, reps, words, percent), "links")
-    for table in (met, mixed, open_rows, first, rest):
+    for table in (company, met, mixed, open_rows, first, rest):
         drop_written(table)
     return sure.unionByName(late)
 
@@ -250,7 +331,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents, all their columns, of which one of each group stays: that of the smallest id (NULL ids last; among
     rows of one id, that of the smallest text hash). A set that only rows without an id have is linked with nothing. Of repeated rows one stays. Texts without words all
-    stay but for repeated ones. Rows equal in id and text that differ in other columns count as repeated."""
+    stay but for repeated ones. Rows equal in id and text that differ in other columns count as repeated:
+    that of the least hash over all columns stays."""
     rows = grouped(docs, words, percent)
     key = ["doc_id", "text_hash"]
     alone = rows.where("component IS NULL").groupBy(*key).agg(F.count("*").alias("n"), F.lit(True).alias("stays"))
@@ -258,9 +340,17 @@ def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     first = texts.groupBy("component").agg(F.min_by(F.struct(*key), F.struct(F.col("doc_id").isNull(), *key)).alias("f"))
     same = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("text_hash") == F.col("f.text_hash"))
     marked = written(texts.join(first, "component").select(*key, "n", same.alias("stays")).unionByName(alone), "marked")
-    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_IDS else df
-    named = lambda df: few(df.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")))
-    match = docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_t"))
+    row_id, row_text = free_name(docs, "_d"), free_name(docs, "_t")
+    match = docs["doc_id"].eqNullSafe(F.col(row_id)) & (F.xxhash64(docs["text"]) == F.col(row_text))
+
+    def named(df: DataFrame) -> DataFrame:
+        return _few(df.select(F.col("doc_id").alias(row_id), F.col("text_hash").alias(row_text)))
+
     gone, repeated = marked.where("NOT stays"), marked.where("stays AND n > 1")
     left = docs.join(named(gone.unionByName(repeated)), match, "left_anti")
-    return left.unionByName(docs.join(named(repeated), match, "left_semi").dropDuplicates(["doc_id", "text"]))
+    # of repeated rows the one with the least hash of all columns, combined before the shuffle
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = docs.join(named(repeated), match, "left_semi").groupBy(docs["doc_id"].alias(row_id), F.xxhash64("text").alias(row_text))
+    once = once.agg(F.min_by(row, F.xxhash64(*[F.col(f"`{c}`") for c in plain])).alias(row_id + "r"))
+    return left.unionByName(once.select(F.col(row_id + "r.*")))
