@@ -10,7 +10,8 @@ texts of new assistant turns only, so every assistant text is a target once; rep
 Inside texts, backslash, `[` and `<` become `\\b`, `\\o` and `\\l` (in role names also `>` to `\\g`), so
 control strings appear only where the template puts them, and reading back is exact.
 
-Running sums are window functions that stream and spill; what is gathered into a row is one window.
+Rows are exchanged once, by conversation; everything after works in that order: running sums are window functions that
+spill, what is gathered into a row is one window, and a window's history comes from the row before it.
 """
 
 from __future__ import annotations
@@ -61,40 +62,35 @@ def windows(conversations: DataFrame, new_tokens: int = NEW_TOKENS, history_toke
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("tokens", token_count(F.col("text")).cast("bigint"))
     order = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    turns = rows.withColumn("seq", F.row_number().over(order)).withColumn("end", F.sum("tokens").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    turns = rows.withColumns({"seq": F.row_number().over(order), "end": F.sum("tokens").over(upto)})
     turns = turns.withColumn("start", F.col("end") - F.col("tokens")).withColumn("cell", F.floor(F.col("start") / F.lit(new_tokens)))
-    cell = W.partitionBy("conv_id", "cell")
-    turns = turns.withColumn("over", F.col("end") - F.min("start").over(cell) > new_tokens)
-    placed = W.partitionBy("conv_id").orderBy("seq")
-    moved = (F.col("cell") != F.lag("cell").over(placed)) | (F.col("over") != F.lag("over").over(placed))
-    turns = turns.withColumn("step", F.coalesce(moved.cast("int"), F.lit(0)))
-    turns = turns.withColumn("window", F.sum("step").over(placed.rowsBetween(W.unboundedPreceding, 0)))
-    body = escape(F.col("text"))
-    tag = escape(F.col("role"), role=True)
-    turns = turns.withColumn("open", _by_role(F.col("role"), OPEN, F.concat(F.lit("<role:"), tag, F.lit(">")))).withColumn("close", _by_role(F.col("role"), CLOSE, F.lit("</role>"))).withColumn("body", body)
-
-    first_system = W.partitionBy("conv_id").orderBy("seq")
-    system = turns.where(F.col("role") == SYSTEM).withColumn("_n", F.row_number().over(first_system)).where("_n = 1")
-    system = system.select("conv_id", F.col("seq").alias("sys_seq"), F.col("window").alias("sys_window"), "open", "body", "close")
-    every = turns.select("conv_id", "window").distinct()
-    retained = every.join(system.withColumnRenamed("conv_id", "_c"), F.col("conv_id").eqNullSafe(F.col("_c"))).where("window > sys_window")
-    retained = retained.select("conv_id", "window", F.lit(0).alias("ord"), F.lit(0).alias("seq"), "open", "body", "close", F.lit(False).alias("target"), F.lit(0).cast("bigint").alias("tokens"))
-
-    with_end = turns.withColumn("window_end", F.max("end").over(W.partitionBy("conv_id", "window"))).withColumn("last", F.max("window").over(W.partitionBy("conv_id")))
-    with_end = with_end.join(system.select(F.col("conv_id").alias("_c"), "sys_seq"), F.col("conv_id").eqNullSafe(F.col("_c")), "left")
-    tail = (F.col("window_end") - F.col("start") <= history_tokens) & (F.col("window") < F.col("last")) & ~F.coalesce(F.col("seq") == F.col("sys_seq"), F.lit(False))
-    copies = F.when(tail, F.array(F.lit(2), F.lit(1))).otherwise(F.array(F.lit(2)))
-    shown = with_end.withColumn("ord", F.explode(copies))
-    new = F.col("ord") == 2
-    shown = shown.select(
-        "conv_id", F.when(new, F.col("window")).otherwise(F.col("window") + 1).alias("window"), "ord", "seq", "open", "body", "close", (new & (F.col("role") == ASSISTANT)).alias("target"), F.when(new, F.col("tokens")).otherwise(F.lit(0)).alias("tokens")
+    turns = turns.withColumn("opens", F.coalesce(F.col("cell") != F.lag("cell").over(order), F.lit(True)))
+    turns = turns.withColumn("cell_start", F.last(F.when(F.col("opens"), F.col("start")), ignorenulls=True).over(upto))
+    turns = turns.withColumn("over", F.col("end") - F.col("cell_start") > new_tokens)
+    turns = turns.withColumn("step", F.coalesce(F.col("opens") | (F.col("over") != F.lag("over").over(order)), F.lit(True)))
+    turns = turns.withColumn("window", F.sum(F.col("step").cast("int")).over(upto) - 1)
+    tag = F.concat(F.lit("<role:"), escape(F.col("role"), role=True), F.lit(">"))
+    marked = [_by_role(F.col("role"), OPEN, tag).alias("open"), escape(F.col("text")).alias("body"), _by_role(F.col("role"), CLOSE, F.lit("</role>")).alias("close")]
+    # the first system turn so far, kept where a window begins
+    system = F.when(F.col("role") == SYSTEM, F.struct(F.col("window").alias("window"), "seq", "start", *marked, F.lit(False).alias("target")))
+    turns = turns.withColumn("system", F.when(F.col("step"), F.first(system, ignorenulls=True).over(upto)))
+    part = F.struct("seq", "start", *marked, (F.col("role") == ASSISTANT).alias("target"))
+    found = turns.groupBy("conv_id", "window").agg(
+        F.array_sort(F.collect_list(part)).alias("new"), F.max("end").alias("window_end"), F.first("system", ignorenulls=True).alias("system"), F.sum("tokens").alias("new_tokens")
     )
-
-    parts = shown.unionByName(retained).groupBy("conv_id", "window").agg(
-        F.array_sort(F.collect_list(F.struct("ord", "seq", "open", "body", "close", "target"))).alias("parts"),
-        F.sum((F.col("ord") < 2).cast("int")).cast("int").alias("n_context"),
-        F.sum((F.col("ord") == 2).cast("int")).cast("int").alias("n_new"),
-        F.sum("tokens").alias("new_tokens"),
+    line = W.partitionBy("conv_id").orderBy("window")
+    found = found.withColumns({"before": F.lag("new").over(line), "before_end": F.lag("window_end").over(line)})
+
+    def shown(p: Column, target: Column) -> Column:
+        return F.struct(*[p[c].alias(c) for c in ("seq", "start", "open", "body", "close")], target.alias("target"))
+
+    held = F.col("system")
+    retained = F.when(held["window"] < F.col("window"), F.array(shown(held, F.lit(False)))).otherwise(F.array())
+    near = F.filter("before", lambda p: (F.col("before_end") - p["start"] <= history_tokens) & ~F.coalesce(p["seq"] == held["seq"], F.lit(False)))
+    repeated = F.coalesce(F.transform(near, lambda p: shown(p, F.lit(False))), F.array())
+    parts = found.withColumn("context", F.concat(retained, repeated)).select(
+        "conv_id", "window", F.concat("context", "new").alias("parts"), F.size("context").alias("n_context"), F.size("new").alias("n_new"), "new_tokens"
     )
 
     def add(acc: Column, p: Column) -> Column:
