@@ -41,7 +41,7 @@ def op5_embedding_near_dedup(spark, d):
 
 
 def op6_sharding(spark, d):
-    """All documents appended in four arrivals, compacted after each, and read back from their shards."""
+    """All documents, appended in four arrivals by a hash of their ids, compacted after each, and read back from their shards."""
     return shards.report(table(spark, d, "documents"))
 
 
@@ -66,6 +66,8 @@ def op10_minhash_near_dedup(spark, d):
 
 
 ORACLES: dict[str, str] = {
+    "op6_sharding": """SELECT doc_id, CAST((instr('0123456789abcdef', substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 1)) - 1) % 4 AS BIGINT) AS arrival,
+ true AS settled, sha256(text) AS text_sha256 FROM documents""",
     "op4_decontamination": r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') t FROM documents),
  b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') t FROM benchmark),
  bs AS (SELECT item_id, len(t) size, unnest(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' '))) h FROM b WHERE len(t) >= 5),

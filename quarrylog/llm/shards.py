@@ -18,9 +18,9 @@ import json
 import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from quarrylog.llm.common import by_value, shared_dir
+from quarrylog.llm.common import by_value, free_name, shared_dir
 
 TARGET_BYTES = 64 << 20
 FAN_IN = 4
@@ -56,7 +56,7 @@ class ShardStore:
     def manifest(self, version: int | None = None) -> dict:
         version = self.version() if version is None else version
         if not version:
-            return {"version": 0, "schema": None, "files": []}
+            return {"version": 0, "schema": None, "next": 0, "files": []}
         stream = self._fs.open(self._p("manifest", f"{version:012d}.json"))
         try:
             return json.loads(bytes(stream.readAllBytes()))
@@ -64,7 +64,13 @@ class ShardStore:
             stream.close()
 
     def _commit(self, base: dict, files: list[dict], schema: str) -> int:
-        record = {"version": base["version"] + 1, "schema": schema, "files": files}
+        """New files are numbered on in their order: the same arrivals give the same shard numbers."""
+        numbered, number = [], base["next"]
+        for f in files:
+            if "shard" not in f:
+                f, number = f | {"shard": number}, number + 1
+            numbered.append(f)
+        record = {"version": base["version"] + 1, "schema": schema, "next": number, "files": numbered}
         self._fs.mkdirs(self._p("manifest"))
         temporary, final = self._p("manifest", f"_{uuid.uuid4().hex}"), self._p("manifest", f"{record['version']:012d}.json")
         out = self._fs.create(temporary, False)
@@ -121,15 +127,18 @@ class ShardStore:
     def compact(self) -> int:
         """Merges tiers until none is worth it; returns the version then current. A writer that comes in between wins,
         and the plan is made anew; merged files that were not committed are left to vacuum."""
+        stuck: set[frozenset] = set()
         while True:
             base = self.manifest()
-            groups = self.plan(base["files"])
+            groups = [g for g in self.plan(base["files"]) if frozenset(f["file"] for f in g) not in stuck]
             if not groups:
                 return base["version"]
             merged = self._merge(groups[0], T.StructType.fromJson(json.loads(base["schema"])))
             gone = {f["file"] for f in groups[0]}
-            if len(merged) >= len(gone):
-                return base["version"]
+            if len(merged) >= len(gone):  # nothing gained: the next tier's turn
+                stuck.add(frozenset(gone))
+                self._fs.delete(self._p("data", merged[0]["file"].partition("/")[0]), True)
+                continue
             try:
                 self._commit(base, [f for f in base["files"] if f["file"] not in gone] + merged, base["schema"])
             except Conflict:
@@ -156,33 +165,47 @@ class ShardStore:
                 self._fs.delete(self._p("manifest", n), False)
         return deleted
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """All rows of a version, with the file's name in ``_shard``."""
+    def read(self, version: int | None = None, shard: str | None = None) -> DataFrame:
+        """All rows of a version; with ``shard``, a name that no column has, also the number of each row's shard."""
         m = self.manifest(version)
+        schema = T.StructType.fromJson(json.loads(m["schema"])) if m["schema"] else T.StructType()
+        if shard and shard.lower() in (n.lower() for n in schema.names):
+            raise ValueError(f"the table has a column {shard}")
         if not m["files"]:
-            schema = T.StructType.fromJson(json.loads(m["schema"])) if m["schema"] else T.StructType()
-            return self.spark.createDataFrame([], schema).withColumn("_shard", F.lit(""))
-        schema = T.StructType.fromJson(json.loads(m["schema"]))
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/data/{f['file']}" for f in m["files"]]).select("*", F.col("_metadata.file_name").alias("_shard"))
+            empty = self.spark.createDataFrame([], schema)
+            return empty.withColumn(shard, F.lit(0).cast("bigint")) if shard else empty
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.path}/data/{f['file']}" for f in m["files"]])
+        if not shard:
+            return rows
+        name = free_name(rows, "_file")
+        numbers = self.spark.createDataFrame([(f["shard"], f["file"].rpartition("/")[2]) for f in m["files"]], T.StructType().add(shard, T.LongType()).add(name, T.StringType()))
+        placed = rows.select("*", F.col("_metadata.file_name").alias(name))
+        return placed.join(F.broadcast(numbers) if len(m["files"]) <= 100_000 else numbers, name).select(*[F.col(f"`{c}`") for c in rows.columns], shard)
 
 
-def report(docs: DataFrame, arrivals: int = 4) -> DataFrame:
-    """doc_id, shard (its number by name within the version), version and a digest of the text, read back from the
-    compacted shards of a store to which the table came in ``arrivals`` appends: of its files or, where there are
-    fewer, of its rows by a hash of id and text."""
-    spark = docs.sparkSession
-    store = ShardStore(spark)
-    files = sorted(docs.inputFiles())
+def arrival_of(doc_id: Column, arrivals: int) -> Column:
+    """The arrival (at most 16) of a row: by the first digit of the md5 of its id as text, NULL as the empty text."""
+    return (F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 1)) - 1) % arrivals
+
+
+def build(docs: DataFrame, arrivals: int = 4, store: ShardStore | None = None) -> ShardStore:
+    """A store to which the rows came in ``arrivals`` appends, by a hash of their ids, compacted after each."""
+    store = store or ShardStore(docs.sparkSession)
     for k in range(arrivals):
-        if len(files) >= arrivals:
-            own = spark.read.schema(docs.schema).parquet(*files[k::arrivals])
-        else:
-            own = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(arrivals)) == k)
-        store.append(own)
+        store.append(docs.where(arrival_of(F.col("doc_id"), arrivals) == k))
         store.compact()
         store.vacuum()
-    version = store.version()
-    names = sorted(f["file"].rpartition("/")[2] for f in store.manifest()["files"])
-    numbers = spark.createDataFrame(list(enumerate(names)), "shard bigint, _shard string")
-    joined = store.read().join(F.broadcast(numbers) if len(names) <= 100_000 else numbers, "_shard")
-    return joined.select("doc_id", "shard", F.lit(version).cast("bigint").alias("version"), F.sha2("text", 256).alias("text_sha256"))
+    return store
+
+
+def report(docs: DataFrame, arrivals: int = 4) -> DataFrame:
+    """doc_id, arrival, settled (the row's shard is of the target size, or its tier has fewer shards than make a merge) and a
+    digest of the text, read back from the compacted shards. Rows stay one for one, whatever the files or the
+    partitions that the frame comes from; NULL ids are an arrival like others; an empty table gives no rows."""
+    spark = docs.sparkSession
+    store = build(docs.select("doc_id", "text"), arrivals)
+    files = store.manifest()["files"]
+    waiting = {f["shard"] for group in store.plan(files) for f in group}
+    known = spark.createDataFrame([(f["shard"], f["shard"] not in waiting) for f in files], "shard bigint, settled boolean")
+    rows = store.read(shard="shard").join(F.broadcast(known) if len(files) <= 100_000 else known, "shard")
+    return rows.select("doc_id", arrival_of(F.col("doc_id"), arrivals).cast("bigint").alias("arrival"), "settled", F.sha2("text", 256).alias("text_sha256"))
