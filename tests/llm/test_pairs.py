@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylog.llm import components, decontam, neardup, vectors
+from quarrylog.llm import components, decontam, neardup, pii, vectors
 
 
 def union_find(nodes, links):
@@ -155,12 +155,82 @@ def test_contaminated_rows_without_an_id(spark):
     assert decontam.matches(docs, bench).schema["doc_id"].dataType == docs.schema["doc_id"].dataType
 
 
-def test_blocks_cover_the_radius():
-    assert sum(n for _, n in decontam.BLOCKS) == 64 and len(decontam.BLOCKS) == decontam.RADIUS + 1
+def test_blocks_find_all_within_the_radius(spark):
+    assert sum(n for _, n in decontam.BLOCKS) == 64 and decontam.PARTS * (decontam.BLOCK_RADIUS + 1) > decontam.RADIUS
     r = random.Random(1)
-    for _ in range(200):
-        a = r.getrandbits(64)
-        b = a
-        for bit in r.sample(range(64), decontam.RADIUS):
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = []
+    for k in range(60):
+        a = b = r.getrandbits(64)
+        for bit in r.sample(range(64), decontam.RADIUS if k % 2 else r.randint(0, decontam.RADIUS)):
             b ^= 1 << bit
-        assert any((a >> at) % (1 << n) == (b >> at) % (1 << n) for at, n in decontam.BLOCKS)
+        rows.append((k, signed(a), signed(b)))
+    df = spark.createDataFrame(rows, "k int, fp bigint, other bigint")
+    probes = decontam._blocks(df.select("k", F.col("other").alias("fp"))).drop("fp")
+    found = decontam._around(decontam._blocks(df.select("k", "fp")).drop("fp")).join(probes, ["k", "block", "value"])
+    assert found.select("k").distinct().count() == len(rows)
+
+
+def test_recall_over_all_windows(spark):
+    """Copies with changed words: found are nearly all that any window of the item's size would give."""
+    r = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(r.choices(vocabulary, k=r.choice((20, 35, 50))))) for i in range(30)]
+    docs = []
+    for d in range(300):
+        inside = r.choice(items)[1].split()
+        for _ in range(r.choice((0, 1, 1, 2))):
+            at = r.choice((0, 1, len(inside) - 2, len(inside) - 1, r.randrange(len(inside))))
+            inside[at : at + r.choice((0, 1))] = r.choices(vocabulary, k=r.choice((0, 1)))
+        docs.append((d, " ".join(r.choices(vocabulary, k=r.randint(0, 40)) + inside + r.choices(vocabulary, k=r.randint(0, 40)))))
+    want, weights = set(), Counter(g for _, t in items for g in {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)})
+    weight = lambda g: math.log(1 + len(items) / max(1, weights[g]))
+    gram = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    for d, t in docs:
+        every = gram(t.split())
+        for i, item in items:
+            x = Counter(gram(item.split()))
+            if not x.keys() & set(every):
+                continue
+            for start in range(len(every)):
+                y = Counter(every[start : start + sum(x.values())])
+                low, high = sum(weight(h) * min(x[h], y[h]) for h in x), sum(weight(h) * max(x[h], y[h]) for h in x | y)
+                if low / high >= 0.8 - 1e-9:
+                    want.add((d, i))
+                    break
+    got = {(x.doc_id, x.item_id) for x in decontam.report(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert len(want) > 150 and got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_clashing_names_and_rows_alike(spark):
+    names = ["_doc", "_key", "_text", "_d", "_t", "_dr", "base", "spans", "sanitised", "_base", "_terms", "user0"]
+    rows = [(*names, 1, "mail bob@x.org now please one two three four five"), (*names, 2, "mail bob@x.org now please one two three four five"), (*names, None, "six seven eight nine ten eleven"), (*names, 2, "mail bob@x.org now please one two three four five")]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names) + ", doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, "six seven eight nine ten eleven")], "item_id bigint, text string")
+    redacted = pii.redact(df).collect()
+    assert [tuple(r)[: len(names)] for r in redacted] == [tuple(names)] * 4 and Counter(r.text for r in redacted)["mail [EMAIL] now please one two three four five"] == 3
+    assert pii.redact(df).columns == df.columns
+    kept = decontam.clean(df, bench)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 2]
+    once = neardup.deduplicate(df)
+    assert once.columns == df.columns and sorted(str(r.doc_id) for r in once.collect()) == ["1", "None"]
+    wide = spark.createDataFrame([(7, "same text here", x) for x in ("c", "a", "b", "a")], "doc_id bigint, text string, note string")
+    picks = {neardup.deduplicate(wide.repartition(k)).first().note for k in (1, 3)}
+    assert len(picks) == 1
+    for empty in (pii.redact(df.limit(0)), decontam.clean(df.limit(0), bench), neardup.deduplicate(df.limit(0))):
+        assert empty.columns == df.columns and empty.count() == 0
+
+
+def test_sorted_orders(spark):
+    """Neighbours and adaptive regions of sorted rows against their definitions."""
+    r = random.Random(9)
+    rows = sorted((t, tuple(r.choice((1, 2)) if k < 9 else r.randint(0, 3) for k in range(neardup.DEEPEST)), n) for n in range(400) for t in range(2))
+    tree, prefix, node = (np.array(x) for x in zip(*rows))
+    shared = lambda a, b: 0 if rows[a][0] != rows[b][0] else next((k for k in range(neardup.DEEPEST) if rows[a][1][k] != rows[b][1][k]), neardup.DEEPEST)
+    near, *regions = neardup.neighbours(prefix.astype(np.uint32), tree, node)
+    for i, (t, p, n) in enumerate(rows):
+        best = max(shared(i, j) for j in range(len(rows)) if j != i and rows[j][0] == t)
+        got = [(o, s) for x, o, s in zip(near[0], near[1], near[2]) if x == n]
+        assert (best in [s for _, s in got]) == (best >= neardup.DEPTH)
+    for own, lead, depth, _ in regions:
+        assert (lead == own.min()).all() and (len(own) <= neardup.CROWD or depth[0] == neardup.DEEPEST)

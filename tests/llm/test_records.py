@@ -130,6 +130,44 @@ def test_shards(spark, tmp_path):
         store.append(docs.withColumn("extra", F.lit(1)))
 
 
+def test_shard_report(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = sorted((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in docs.collect())
+    store = shards.build(docs, 4)
+    assert store.version() > 4 and len(store.manifest()["files"]) < 4  # four arrivals and a merge
+    numbers = lambda s: sorted((r.doc_id, r.at) for r in s.read(shard="at").select("doc_id", "at").collect())
+    assert numbers(store) == numbers(shards.build(docs, 4))
+    few = docs.where("doc_id < 10").withColumn("_shard", F.lit("own")).withColumn("shard", F.lit("own"))
+    got = shards.report(few.repartition(3)).collect()  # the rows of the frame, not of its files
+    assert sorted((r.doc_id, r.text_sha256) for r in got) == want[:10] and all(r.settled for r in got) and {r.arrival for r in got} <= set(range(4))
+    with pytest.raises(ValueError):
+        shards.build(few, 1).read(shard="shard")
+    assert shards.report(docs.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, None), (None, "a"), (1, ""), (1, "")], "doc_id bigint, text string")
+    assert shards.report(odd).count() == 4
+
+
+def test_a_tier_that_cannot_shrink_holds_up_no_other(spark, tmp_path):
+    store = shards.ShardStore(spark, str(tmp_path / "t"), target_bytes=100 << 10)
+    noise = spark.range(40_000).select(F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    real = shards.ShardStore._merge
+    tries: list = []
+
+    def merge(self, group, schema):  # the first tier tried comes out as it went in
+        tries.append(len(group))
+        return real(self, group, schema) if len(tries) > 1 else [{"file": f"none/{k}", "bytes": 1} for k in range(len(group))]
+
+    store.append(noise.where("id < 300").repartition(8))
+    store.append(noise.where("id >= 300 and id < 4000").repartition(4))
+    assert len(store.plan(store.manifest()["files"])) == 2
+    shards.ShardStore._merge = merge
+    try:
+        store.compact()
+    finally:
+        shards.ShardStore._merge = real
+    assert tries[:2] == [8, 4] and store.read().count() == 4000
+
+
 def test_shards_edges(spark, tmp_path):
     store = shards.ShardStore(spark, str(tmp_path / "e"))
     df = spark.createDataFrame([(None, None), (1, ""), (1, "")], "doc_id bigint, text string")

@@ -59,6 +59,7 @@ def test_composition_is_associative():
 def test_chunks_equal_whole(spark, seg):
     r = random.Random(2)
     rows = [(i, "".join(r.choice(a) for _ in range(r.randint(1, 700)))) for i in range(5) for a in ("ab e\nthñ🙂 ", "abcdefgh", "ther▁ \n▁", "日本", "    a")]
+    rows += [(200, "ab \ufdd0 cd ▁ \ufdd1 " * 9), (201, "".join(map(chr, range(0xFDD0, 0xFDF0))) * 3 + "▁▁ ▁")]  # nothing stands for anything else
     rows += [(100, None), (101, ""), (102, "The quick brown fox " * 40), (102, "The quick brown fox " * 40), (None, "x" * 300)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     out = unigram.encode(df, giant=40, chunk=23, decoded=True).collect()
@@ -68,6 +69,60 @@ def test_chunks_equal_whole(spark, seg):
     assert counts == {(i, None if t is None else len(seg.encode(t))) for i, t in rows}
 
 
+def test_giant_texts_scan_in_levels(spark, seg):
+    text = "ther the mat ▁ \n" * 90 + "abcdefgh" * 60
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    old = unigram.scan_entries.__defaults__
+    unigram.scan_entries.__defaults__ = (3,)  # 80 chunks in blocks of 3: four levels
+    try:
+        row = unigram.encode(df, giant=40, chunk=23, decoded=True).first()
+    finally:
+        unigram.scan_entries.__defaults__ = old
+    assert row.ids == seg.encode(text).tolist() and row.decoded == text
+
+
+def test_clashing_columns_and_empty_tables(spark):
+    names = ["key", "k", "ids", "decoded", "doc_id", "text", "held_out", "_body", "n_tokens"]
+    df = spark.createDataFrame([("a", "b", "c", "d", 1, "some words " * 9, "e", "f", "g")], ", ".join(f"{n} {'bigint' if n == 'doc_id' else 'string'}" for n in names))
+    assert unigram.encode(df, giant=40, chunk=23, decoded=True).first().decoded == "some words " * 9
+    assert unigram.count_tokens(df).first().n_tokens > 9 and langid.detect(df.withColumn("lang", F.lit("x"))).first().doc_id == 1
+    for empty in (unigram.encode(df.limit(0), decoded=True), unigram.count_tokens(df.limit(0)), langid.detect(df.withColumn("lang", F.lit("x")).limit(0))):
+        assert empty.count() == 0
+
+
+def test_numbers_are_no_letters(spark):
+    df = spark.createDataFrame([(1, "hello there my friend", "en"), (2, "½ ²", "en"), (3, "Ⅷ ½", None), (4, "½é", None), (5, "12 _ .", None), (6, None, "en")], "doc_id bigint, text string, lang string")
+    model = langid.train([("en", b"hello there my friend")])
+    assert {r.doc_id: r.lang_pred for r in langid.predict(df, model).collect()} == {1: "en", 2: "und", 3: "und", 4: "en", 5: "und", 6: "und"}
+
+
+def test_machine_equals_its_parts(spark):
+    """The composed machine against the transducers applied one after the other."""
+    r, machine = random.Random(6), toxicity.grammar()
+    for _ in range(300):
+        clause = [r.choice("IITYMNRO") for _ in range(r.randint(1, 25))]
+        state, got = machine.start, []
+        for s in clause:
+            state, out, w = machine.arcs[state][s]
+            got.append((out, w))
+        want = [(s, 1.0) for s in clause]
+        for part in toxicity.parts():
+            state = part.start
+            for i, (s, w) in enumerate(want):
+                state, out, more = part.step(state, s)
+                want[i] = (out, w * more)
+        assert got == want
+    table, lexicon = toxicity.symbols({"idiot": 2.0, "fool": 1.0}), {"idiot": 2.0, "fool": 1.0}
+    text = "you idiot and fool. we will kill them! never a fool, said he. " * 40
+    long, toxicity.LONG_CHARS = toxicity.LONG_CHARS, 100
+    try:
+        by_word = toxicity.features(text, lexicon, table, machine)
+    finally:
+        toxicity.LONG_CHARS = long
+    assert by_word == toxicity.features(text, lexicon, table, machine) and by_word[0] > 0
+    assert toxicity.features("idiot fool", lexicon, table, machine)[1] == 2.0 + 1.25
+
+
 def test_language_model_is_a_distribution():
     rows = [("x", "the cat sat on the mat".encode()), ("y", "die katze saß auf der matte äöü".encode()), ("x", b"the dog and the hat")]
     model = langid.train(rows)
