@@ -92,8 +92,6 @@ class Segmenter:
         for piece, i, score in model["normal"]:
             self.found.add_word(piece, (len(piece), i, score))
         self.found.make_automaton()
-        self.prefixes: dict[str, tuple] = {p[:k]: () for p, _, _ in model["normal"] for k in range(1, len(p))}
-        self.prefixes |= {p: (i, score) for p, i, score in model["normal"]}
         self.longest = max((len(p) for p, _, _ in model["normal"]), default=1)
         self.known = {c for p, _, _ in model["normal"] for c in p}
         self.single = {p for p, _, _ in model["normal"] if len(p) == 1}
@@ -103,7 +101,9 @@ class Segmenter:
         self.plain = "\n" not in self.known  # lines can be cut apart
         self.ids = _Memo(lambda w: struct.pack(f"<{len(ids := self.word(w)[1])}i", *ids))
         self.sizes = _Memo(self.count_word)
-        self.scored = _Memo(self.word, MEMO // 8)
+        # a character that is no piece counts once, by its first byte
+        worth = {i: score for _, i, score in model["normal"]} | {i: self.unk_score if b >> 6 != 2 else 0 for b, i in model["byte"].items()}
+        self.worth = np.array([worth.get(i, self.unk_score) for i in range(len(model["text"]))], np.int64)
 
     def unknown(self, c: str) -> list[int]:
         """Pieces of a character that is no piece: its bytes."""
@@ -142,35 +142,36 @@ class Segmenter:
         return [i for ids in reversed(out) for i in ids], at
 
     def word(self, text: str) -> tuple[int, list[int]]:
-        """Score and ids between two forced breaks: each start is extended while it is a prefix of a piece."""
+        """Score and ids between two forced breaks, by the matches that the automaton lists: those that end at a place from
+        the longest on, so that strict comparison keeps the first start among ties."""
         n = len(text)
-        best, back = [NEVER] * (n + 1), [(0, 0)] * (n + 1)
-        best[0] = 0
-        prefixes, single = self.prefixes, self.single
-        for s in range(n):
-            here = best[s]
-            for e in range(s + 1, n + 1):
-                hit = prefixes.get(text[s:e])
-                if hit is None:
-                    break
-                if hit and here + hit[1] > best[e]:
-                    best[e], back[e] = here + hit[1], (s, hit[0])
-            if text[s] not in single and here + self.unk_score > best[s + 1]:
-                best[s + 1], back[s + 1] = here + self.unk_score, (s, None)
+        best, via = [0] + [NEVER] * n, [None] * (n + 1)
+        single, unk, done = self.single, self.unk_score, 0
+        for e, hit in self.found.iter(text):
+            while done < e:  # an unknown character is the last candidate at its end
+                done += 1
+                if text[done - 1] not in single and best[done - 1] + unk > best[done]:
+                    best[done], via[done] = best[done - 1] + unk, None
+            score = best[e + 1 - hit[0]] + hit[2]
+            if score > best[e + 1]:
+                best[e + 1], via[e + 1] = score, hit
+        while done < n:
+            done += 1
+            if text[done - 1] not in single and best[done - 1] + unk > best[done]:
+                best[done], via[done] = best[done - 1] + unk, None
         out, at = [], n
         while at:
-            s, i = back[at]
-            if i is None:
-                out += reversed(self.unknown(text[s]))
+            hit = via[at]
+            if hit is None:
+                at -= 1
+                out += reversed(self.unknown(text[at]))
             else:
-                out.append(i)
-            at = s
+                out.append(hit[1])
+                at -= hit[0]
         return best[n], out[::-1]
 
     def count_word(self, text: str) -> int:
-        """Number of pieces only: best score and count are carried forward together, nothing is traced.
-        The automaton lists the matches that end at a place from the longest on, so that strict comparison
-        keeps the first start among ties."""
+        """Number of pieces only: best score and count are carried forward together, nothing is traced."""
         n = len(text)
         best, count = [NEVER] * (n + 1), [0] * (n + 1)
         best[0] = 0
@@ -219,8 +220,10 @@ class Segmenter:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text."""
-        if not text:
-            return np.zeros(0, "<i4")
+        return self._ids(text, True) if text else np.zeros(0, "<i4")
+
+    def _ids(self, text: str, whole: bool = False) -> np.ndarray:
+        """Ids of a stretch between forced breaks; a whole text has a space before it."""
         memo, mark = self.ids, np.array(self.unknown(SPACE), "<i4").tobytes()
         out: list[bytes] = []
         for i, line in enumerate(text.split("\n") if self.plain else [text]):
@@ -228,10 +231,10 @@ class Segmenter:
                 out.append(memo["\n"])
             if self.plain and line and line[0] != " " and "  " not in line and SPACE not in line:
                 head, *rest = line.split(" ")
-                out.append(memo[head if i else SPACE + head])
+                out.append(memo[SPACE + head if whole and not i else head])
                 out += [memo[SPACE + w] for w in rest]
             else:
-                out += [mark if w is None else memo[w] for w in self.words(line if i else " " + line)]
+                out += [mark if w is None else memo[w] for w in self.words(" " + line if whole and not i else line)]
         return np.frombuffer(b"".join(out), "<i4")
 
     def count(self, text: str) -> int:
@@ -267,12 +270,8 @@ class Segmenter:
     def chunk_paths(self, text: str, start: int, end: int, entry: dict[int, int]):
         """For entry scores by overhang: (exit overhang, score, entry overhang, ids) per reachable exit."""
         if set(entry) == {0} and (end == len(text) or self.forced(text, end)):  # nothing hangs over: word by word
-            score, ids = entry[0], []
-            for w in self.words(text[start:end].replace(SPACE, " ").replace(MARK, SPACE)):
-                s, own = (self.unk_score, self.unknown(SPACE)) if w is None else self.scored[w]
-                score += s
-                ids += own
-            return [(0, score, 0, ids)]
+            ids = self._ids(text[start:end].replace(SPACE, " ").replace(MARK, SPACE))
+            return [(0, entry[0] + int(self.worth[ids].sum()), 0, ids)]
         body = text[start : end + self.longest - 1]
         size = end - start
         first = {i: s for i, s in entry.items() if i >= size}
@@ -297,12 +296,12 @@ class _Memo(dict):
     """Remembers results up to a bound: when it is full it becomes the old generation, out of which words that
     come again are taken over; the words of the old generation before it are forgotten."""
 
-    def __init__(self, make, most: int = MEMO):
+    def __init__(self, make):
         super().__init__()
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        if len(self) >= MEMO:
             self.old = dict(self)
             self.clear()
         value = self.old.get(key)
@@ -450,11 +449,14 @@ def encode_giants(texts: DataFrame, shared, chunk: int = CHUNK_CHARS) -> DataFra
             snapped = k == 0 or (start > 0 and seg.forced(part, start))
             cells: dict = {}
             for i in range(1 if snapped else seg.longest):
-                cells[i] = {j: s for j, s, _, _ in seg.chunk_paths(part, start, end, {i: 0}) if k < n - 1 or j == 0}
-            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([k], pa.int32()), pa.array([_packed(cells)])], ["key", "k", "matrix"])
+                found = [p for p in seg.chunk_paths(part, start, end, {i: 0}) if k < n - 1 or p[0] == 0]
+                cells[i] = {j: s for j, s, _, _ in found}
+            # between two forced breaks there is one path, whatever stands before: it needs no second look
+            ids = np.array(found[0][3], "<i4") if cells.keys() == {0} and cells[0].keys() == {0} else None
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([k], pa.int32()), pa.array([_packed(cells)]), _id_lists([ids])], ["key", "k", "matrix", "ids"])
 
-    done = written(parts.mapInArrow(matrices, "key string, k int, matrix string"), "matrices")
-    entries = scan_entries(done)
+    done = written(parts.mapInArrow(matrices, "key string, k int, matrix string, ids array<int>"), "matrices")
+    entries = scan_entries(done).join(done.where("ids IS NULL").select("key", "k"), ["key", "k"], "left_semi")
 
     def backtrace(batches):
         seg = segmenter(shared.value)
@@ -466,7 +468,9 @@ def encode_giants(texts: DataFrame, shared, chunk: int = CHUNK_CHARS) -> DataFra
                 if k < n - 1 or not j:
                     yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([k], pa.int32()), pa.array([i], pa.int32()), pa.array([j], pa.int32()), _id_lists([np.array(ids, "<i4")])], ["key", "k", "i", "j", "ids"])
 
-    paths = written(parts.join(entries, ["key", "k"]).mapInArrow(backtrace, "key string, k int, i int, j int, ids array<int>"), "paths")
+    closed = done.where("ids IS NOT NULL").select("key", "k", F.lit(0).alias("i"), F.lit(0).alias("j"), "ids")
+    open_paths = parts.join(entries, ["key", "k"]).mapInArrow(backtrace, "key string, k int, i int, j int, ids array<int>")
+    paths = written(closed.unionByName(open_paths), "paths")
     drop_written(parts)
     drop_written(done)
 
