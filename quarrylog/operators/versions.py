@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -23,7 +24,8 @@ def committed(log: DataFrame, versions: DataFrame, version: str) -> DataFrame:
 
 
 def lineage(spark: SparkSession, versions: DataFrame, at: int) -> DataFrame:
-    """(v, depth) of a version and its ancestors over ``versions(v, base)``."""
+    """(v, depth) of a version and its ancestors over ``versions(v, base)``, which every step reads: hand in a table or a
+    persisted frame."""
     return spark.sql(
         """WITH RECURSIVE chain(v, base, depth) AS (
              SELECT v, base, 0 FROM {versions} WHERE v = {at}
@@ -63,7 +65,7 @@ class VersionStore:
             stream.close()
 
     def versions(self) -> dict[int, int | None]:
-        """Committed versions with their bases; the number of versions, not of rows."""
+        """Committed versions with their bases; one small file each, as many as versions, not as rows."""
         if not self._fs.exists(self._p("manifest")):
             return {}
         found = (s.getPath() for s in self._fs.listStatus(self._p("manifest")))
@@ -71,12 +73,19 @@ class VersionStore:
         return {r["version"]: r["base"] for r in records}
 
     def create(self, base: int | None = None) -> int:
-        """A new version id, claimed by making its folder (mkdirs of a fresh name; ids are never reused)."""
-        taken = [-1, *self.versions()]
-        if self._fs.exists(self._p("changes")):
-            taken += [int(s.getPath().getName()[2:]) for s in self._fs.listStatus(self._p("changes")) if s.getPath().getName().startswith("v=")]
-        version = max(taken) + 1
-        self._fs.mkdirs(self._p("changes", f"v={version}"))
+        """A new version id, claimed by creating its file in ``claims/`` without overwriting: of two writers one gets the id and the
+        other tries the next. Claims stay for good, so the id of an aborted version is never given again."""
+        claims = self._p("claims")
+        self._fs.mkdirs(claims)
+        version = max([-1, *(int(s.getPath().getName()) for s in self._fs.listStatus(claims))]) + 1
+        while True:
+            try:
+                self._fs.create(self._p("claims", str(version)), False).close()
+                break
+            except Py4JJavaError:
+                if not self._fs.exists(self._p("claims", str(version))):
+                    raise
+                version += 1
         self._write(self._p("changes", f"v={version}", "_base.json"), {"version": version, "base": base})
         return version
 
@@ -100,20 +109,35 @@ class VersionStore:
         self._fs.mkdirs(self._p("manifest"))
         temporary = self._p("manifest", f"_{uuid.uuid4().hex}")
         self._write(temporary, record)
-        return bool(self._fs.rename(temporary, self._p("manifest", f"{version}.json")))
+        final = self._p("manifest", f"{version}.json")
+        options = self.spark.sparkContext._gateway.new_array(self._hadoop.Options.Rename, 0)
+        try:  # without overwriting: of two committers one has made the version
+            self._hadoop.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration()).rename(temporary, final, options)
+        except Py4JJavaError:
+            self._fs.delete(temporary, False)
+            if not self._fs.exists(final):
+                raise
+            return False
+        return True
 
     def abort(self, version: int) -> None:
         if version not in self.versions():
             self._fs.delete(self._p("changes", f"v={version}"), True)
 
     def read(self, version: int) -> DataFrame:
-        """The map as of a version: its own changes (staged or not) over its chain of bases."""
+        """The map as of a version: its own changes (staged or not) over its chain of bases, staged ones too. A version that does
+        not exist, was aborted, or stands on one that was, is an error."""
         known = self.versions()
-        base = known[version] if version in known else self._read(self._p("changes", f"v={version}", "_base.json"))["base"]
-        chain = [version]
-        while base is not None:
-            chain.append(base)
-            base = known[base]
+        chain: list[int] = []
+        at: int | None = version
+        while at is not None:
+            chain.append(at)
+            if at not in known:
+                staged = self._p("changes", f"v={at}", "_base.json")
+                if not self._fs.exists(staged):
+                    raise ValueError(f"version {version} needs version {at}, which does not exist or was aborted")
+                known[at] = self._read(staged)["base"]
+            at = known[at]
         log = None
         for depth, v in enumerate(chain):
             parts = [s.getPath().getName() for s in self._fs.listStatus(self._p("changes", f"v={v}"))]

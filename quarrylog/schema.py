@@ -2,8 +2,8 @@
 
 from pyspark.sql import types as T
 
-NAME_CHARS = 63
-EVENT_CHARS = 15
+NAME_CHARS = NAME_BYTES = 63
+EVENT_CHARS = EVENT_BYTES = 15
 PAGE_BYTES = 4096
 PAGE_HEADER_BYTES = 16
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,5 +26,23 @@ def local_session(cores: int | str = "*", shuffle: int = 8, memory: str = "8g")
     return spark
 
 
+def work_dir(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one (spark.checkpoint.dir, else the context's checkpoint folder; a local session without
+    either gets a temporary one), deleted when the driver ends."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = held.get() if held.isDefined() else None
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="quarrylog")
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return place.toString()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

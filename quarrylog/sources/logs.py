@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quarrylog.functions.text import clip_chars, lenient_bigint
-from quarrylog.schema import EVENT_CHARS, LOG_SCHEMA, NAME_CHARS
+from quarrylog.functions.text import clip_bytes, lenient_bigint
+from quarrylog.schema import EVENT_BYTES, LOG_SCHEMA, NAME_BYTES
 
 EVENTS = ("START", "STOP", "RESTART", "ERROR", "WARNING", "DEPLOY")
 MAX_MS = 253402300799999
@@ -25,17 +25,19 @@ def _field(parts: Column, i: int, last_empty_is_null: bool = True) -> Column:
 
 def parse_lines(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = (), default_ms: Column | None = None) -> DataFrame:
     """Typed records of raw lines; zero-length lines go. A bad time gives NULL and ``ts_bad`` (or
-    ``default_ms`` where given), a bad id 0, missing fields NULL. Fields past the fourth are ignored."""
-    parts = F.split(F.col(column), ",", -1)
-    ms = lenient_bigint(F.get(parts, F.lit(0)))
-    ms = F.when(ms.between(-MAX_MS, MAX_MS), ms)
-    id_text = _field(parts, 1)
-    return lines.where(F.length(column) > 0).select(
+    ``default_ms`` where given), a bad id 0, missing fields NULL. Fields past the fourth are ignored. Names are cut to 63
+    bytes and event types to 15, never inside a character. Lines are split once, then read field by field."""
+    split = lines.where(F.length(column) > 0).select(*keep, F.split(F.col(column), ",", -1).alias("_parts"))
+    parts, ms = F.col("_parts"), F.col("_ms")
+    read = split.select(*keep, "_parts", lenient_bigint(F.get(parts, F.lit(0))).alias("_ms"), _field(parts, 1).alias("_id"))
+    read = read.withColumn("_ms", F.when(ms.between(-MAX_MS, MAX_MS), ms))
+    id_text = F.col("_id")
+    return read.select(
         *keep,
         (ms if default_ms is None else F.coalesce(ms, default_ms)).alias("epoch_ms"),
         F.when(id_text.isNotNull(), F.coalesce(lenient_bigint(id_text), F.lit(0).cast("bigint"))).alias("resource_id"),
-        clip_chars(_field(parts, 2), NAME_CHARS).alias("resource_name"),
-        clip_chars(_field(parts, 3), EVENT_CHARS).alias("event_type"),
+        clip_bytes(_field(parts, 2), NAME_BYTES).alias("resource_name"),
+        clip_bytes(_field(parts, 3), EVENT_BYTES).alias("event_type"),
         ms.isNull().alias("ts_bad"),
     )
 

@@ -6,6 +6,11 @@ newer version of a row (``operators.versions``). The raw 4096-byte layout can be
 
 from __future__ import annotations
 
+import json
+import uuid
+from typing import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarrylog.schema import PAGE_BYTES, PAGE_HEADER_BYTES
@@ -34,7 +39,7 @@ def _signed(value: Column) -> Column:
     return F.when(value >= 2**31, value - 2**32).otherwise(value).cast("int")
 
 
-def read_page_file(spark: SparkSession, path: str) -> DataFrame:
+def read_page_file(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Pages of raw page files: header fields and payload. A short last page is zero-filled; a page past
     the end has no row (``page_or_zero`` gives zeros for it). One file is one task: page files are small
     by construction (a file over 2 GB does not fit ``binaryFile``; split it first)."""
@@ -55,6 +60,67 @@ def read_page_file(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _bytes_le(value: Column, n: int) -> Column:
+    raw = F.unhex(F.lpad(F.hex(value.bitwiseAND(F.lit((1 << 8 * n) - 1))), 2 * n, "0"))
+    return F.concat(*[F.substring(raw, k, 1) for k in range(n, 0, -1)])
+
+
+def raw_page() -> Column:
+    """The 4096 bytes of a row (page_id, creation_version, key_count, is_leaf, payload): the payload is cut or zero-filled;
+    a NULL id or version is -1, any other NULL zero."""
+    zero = F.unhex(F.lit("00"))
+    payload = F.rpad(F.coalesce(F.substring("payload", 1, PAGE_BYTES - PAGE_HEADER_BYTES), F.lit(b"")), PAGE_BYTES - PAGE_HEADER_BYTES, zero)
+    number = lambda c, missing: F.coalesce(F.col(c).cast("bigint"), F.lit(missing).cast("bigint"))
+    leaf = F.when(F.col("is_leaf"), F.unhex(F.lit("01"))).otherwise(zero)
+    return F.concat(_bytes_le(number("page_id", -1), 4), _bytes_le(number("creation_version", -1), 4), _bytes_le(number("key_count", 0), 4), leaf, F.unhex(F.lit("000000")), payload)
+
+
+def write_page_files(pages: DataFrame, path: str, files: int | None = None) -> int:
+    """Writes pages in the raw layout (S9), ranges of page_id side by side, one file a range; returns the number of pages
+    written (S11). Every task writes a file of its own name through pyarrow's file systems; a manifest, written
+    last, lists those of the tasks that count, so files of failed or doubled attempts are never read."""
+    rows = pages.select("page_id", raw_page().alias("raw"))
+    rows = (rows.repartitionByRange(files, "page_id") if files else rows.repartitionByRange("page_id")).sortWithinPartitions("page_id")
+    hadoop = pages.sparkSession._jvm.org.apache.hadoop.fs
+    place = hadoop.Path(path)
+    disk = place.getFileSystem(pages.sparkSession._jsc.hadoopConfiguration())
+    disk.mkdirs(place)
+    target = disk.makeQualified(place).toString().replace("file:/", "file:///", 1).replace("file://///", "file:///", 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, folder = fs.FileSystem.from_uri(target)
+        name, n, first, out = f"{uuid.uuid4().hex}.pages", 0, None, None
+        for batch in batches:
+            if len(batch):
+                if out is None:
+                    first, out = batch.column("page_id")[0].as_py(), system.open_output_stream(f"{folder}/{name}")
+                out.write(b"".join(batch.column("raw").to_pylist()))
+                n += len(batch)
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_pylist([{"name": name, "n": n, "first": first}], pa.schema([("name", pa.string()), ("n", pa.int64()), ("first", pa.int64())]))
+
+    done = sorted(rows.mapInArrow(run, "name string, n bigint, first bigint").collect(), key=lambda r: (r.first is not None, r.first))  # one row a file
+    stream = disk.create(hadoop.Path(f"{path}/manifest.json"), True)
+    stream.write(json.dumps([r.name for r in done]).encode())
+    stream.close()
+    return sum(r.n for r in done)
+
+
+def read_page_files(spark: SparkSession, path: str) -> DataFrame:
+    """read_page_file() of what write_page_files() wrote; no files, no rows."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    place = hadoop.Path(f"{path}/manifest.json")
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).open(place)
+    names = json.loads(bytes(stream.readAllBytes()))
+    stream.close()
+    if not names:
+        return spark.createDataFrame([], "path string, slot bigint, page_id int, creation_version int, key_count bigint, is_leaf boolean, payload binary")
+    return read_page_file(spark, [f"{path}/{n}" for n in names])
+
+
 def page_or_zero(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     """Reads by id: ``wanted(page_id)`` left-joined; a page that is not there reads as zeros."""
     zero = F.unhex(F.lit("00" * (PAGE_BYTES - PAGE_HEADER_BYTES)))

@@ -45,6 +45,68 @@ def test_log_round_trip(spark, tmp_path):
     assert logs.read_logs(spark, str(tmp_path / "absent")).count() == 0
 
 
+def test_names_are_cut_to_bytes(spark):
+    row = logs.parse_lines(spark.createDataFrame([("1,2," + "é" * 40 + "," + "ab🙂" * 4,)], "value string")).first()
+    assert row.resource_name == "é" * 31 and row.event_type == "ab🙂ab🙂ab"
+
+
+def test_running_sums(spark):
+    r = random.Random(2)
+    keys = sorted({r.choice((-1, 1)) * r.getrandbits(r.choice((5, 20, 40, 62))) for _ in range(500)})
+    rows = [(k, r.randint(-9, 9)) for k in keys]
+    got = {x.k: x.s for x in keyindex.running_sum(spark.createDataFrame(rows, "k bigint, v bigint"), "k", "v", "s").collect()}
+    total, want = 0, {}
+    for k, v in rows:
+        total += v
+        want[k] = total
+    assert got == want
+    ranks = {x.k: x.r for x in keyindex.dense_rank_of(spark.createDataFrame(rows, "k bigint, v bigint"), "k", "r").collect()}
+    assert ranks == {k: i for i, k in enumerate(keys)}
+
+
+def test_pool_replay(spark):
+    """Pinned pages stay, clean and dirty victims, deletes and refetches, failures that take no id."""
+    ops = [("fetch", 1, 0), ("fetch", 2, 0), ("new", 0, 0), ("new", 0, 0), ("fetch", 9, 0), ("unpin", 2, 1), ("unpin", 2, 0), ("new", 0, 0), ("delete", 1, 0), ("unpin", 1, 0), ("delete", 1, 0), ("delete", 1, 0), ("flush", 1, 0), ("flush", 50, 0), ("flush", 50, 0), ("all", 0, 0), ("fetch", 1, 0), ("fetch", 1, 0), ("unpin", 77, 0)]
+    rows = [("p", i, op, p, bool(x)) for i, (op, p, x) in enumerate(ops)] + [("q", 0, "fetch", 5, False)]
+    df = spark.createDataFrame(rows, "pool string, seq bigint, op string, page_id bigint, dirty boolean")
+    got = [tuple(r)[2:] for r in sorted(cachesim.pool_replay(df, 3, 50).where("pool = 'p'").collect(), key=lambda r: r.seq)]
+    assert got == [
+        (True, 1, None, 0, 1), (True, 2, None, 0, 1), (True, 50, None, 0, 1), (False, None, None, 0, None), (False, 9, None, 0, None), (True, 2, None, 0, 0), (False, 2, None, 0, 0),
+        (True, 51, 2, 1, 1), (False, 1, None, 0, 1), (True, 1, None, 0, 0), (True, 1, None, 0, None), (True, 1, None, 0, None), (False, 1, None, 0, None), (True, 50, None, 1, 1),
+        (True, 50, None, 1, 1), (True, None, None, 1, None), (True, 1, None, 0, 1), (True, 1, None, 0, 2), (False, 77, None, 0, None),
+    ]
+    assert cachesim.pool_replay(df.limit(0), 3).count() == 0
+
+
+def test_page_files(spark, tmp_path):
+    rows = [(i, i - 1, 2**31 + i, i % 2 == 0, f"val:{i}".encode()) for i in range(250)] + [(None, None, None, None, None), (2**31 - 1, -5, 0, True, b"x" * 5000)]
+    df = spark.createDataFrame(rows, "page_id int, creation_version int, key_count bigint, is_leaf boolean, payload binary")
+    assert pages.write_page_files(df, str(tmp_path / "db"), 3) == len(rows)
+    got = {r.page_id: r for r in pages.read_page_files(spark, str(tmp_path / "db")).collect()}
+    for i, v, n, leaf, text in rows[:250]:
+        assert (got[i].creation_version, got[i].key_count, got[i].is_leaf, bytes(got[i].payload).rstrip(b"\0")) == (v, n, leaf, text)
+    assert bytes(got[2**31 - 1].payload) == b"x" * 4080 and got[-1].key_count == 0 and len(got) == len(rows)
+    assert pages.write_page_files(df.limit(0), str(tmp_path / "none")) == 0 and pages.read_page_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_no_single_task_windows(spark):
+    for name in ("q10_leaf_stats", "q11_leaf_skip", "q23_lru_replay", "q24_cache_size", "q32_index_levels"):
+        plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        windows = [line for line in plan.splitlines() if "Window [" in line]
+        assert "SinglePartition, REPARTITION" not in plan and not any("], []" in w for w in windows)
+
+
+def test_optional_part_without_its_needs(monkeypatch):
+    import sys
+
+    import __spark_entry__
+
+    for name in [m for m in sys.modules if m.startswith("quarrylog.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    assert set(__spark_entry__.queries()) == set(catalog.QUERIES) and set(__spark_entry__.oracle_sql()) == set(catalog.ORACLES)
+
+
 def test_times_and_bytes(spark):
     row = spark.sql("SELECT TIMESTAMP_NTZ'1969-12-31 23:59:59.999500' a, 'éé' b, 'abc' c").select(epoch_ms(F.col("a")), from_epoch_ms(F.lit(-1)).cast("string"), clip_bytes(F.col("b"), 3), clip_bytes(F.col("c"), 2)).first()
     assert list(row) == [-1, "1969-12-31 23:59:59.999", "é", "ab"]
@@ -92,6 +154,12 @@ def test_version_store(spark, tmp_path):
     store.apply(c, rows((1, 3, 30)))
     assert get(b) == {1: 11, 2: 99} and get(c) == {1: 11, 2: 20, 3: 30}
     store.abort(c)
+    assert store.create(a) == c + 1  # the id of an aborted version is never given again
+    with pytest.raises(ValueError):
+        store.read(c)
+    d = store.create(b)
+    store.apply(d, rows((1, 9, 9)))
+    assert get(d) == {1: 11, 2: 99, 9: 9}  # staged on staged
     assert not store.commit(c) and store.commit(b)
     assert set(store.versions()) == {a, b} and get(b) == {1: 11, 2: 99}
 
