@@ -24,6 +24,8 @@ by_value(__name__)
 
 SALTS = 16
 RUN_BYTES = 1 << 21
+BATCH_BYTES = 1 << 23
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,7 +58,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     nothing that is finished, and no task repeats it."""
     spark = df.sparkSession
     path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(BATCH_SETTING, None)
+    spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))  # what a Python worker and the JVM beside it hold at once
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH_SETTING, before) if before else spark.conf.unset(BATCH_SETTING)
     return spark.read.schema(df.schema).parquet(path)
 
 
