@@ -209,7 +209,11 @@ def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, perc
     asked = members.select(F.col("a").alias("node"), "a", "b", "fan").unionByName(leaders.select(F.col("b").alias("node"), "a", "b", "fan"))
     asked = written(asked.join(reps, "node").select("rep", "digest", "a", "b", "fan"), "asked")
     rows = docs.select(F.col("doc_id").alias("rep"), "text").where(F.col("rep").isNotNull())
-    texts = rows.join(_few(asked), "rep")
+    if asked.count() <= BROADCAST_IDS:
+        texts = rows.join(F.broadcast(asked), "rep")
+    else:  # only the texts that are asked for are exchanged, each once
+        need = written(asked.select("rep").distinct(), "need")
+        texts = rows.join(_few(need), "rep", "left_semi").join(asked, "rep")
     placed = texts.repartition("b", "fan").sortWithinPartitions("b", "fan", F.col("a").asc_nulls_first())
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
