@@ -148,7 +148,7 @@ def test_shard_report(spark):
 
 
 def test_a_tier_that_cannot_shrink_holds_up_no_other(spark, tmp_path):
-    store = shards.ShardStore(spark, str(tmp_path / "t"), target_bytes=100 << 10)
+    store = shards.ShardStore(spark, str(tmp_path / "t"), target_bytes=4 << 20)
     noise = spark.range(40_000).select(F.sha2(F.col("id").cast("string"), 256).alias("text"))
     real = shards.ShardStore._merge
     tries: list = []
@@ -158,14 +158,14 @@ def test_a_tier_that_cannot_shrink_holds_up_no_other(spark, tmp_path):
         return real(self, group, schema) if len(tries) > 1 else [{"file": f"none/{k}", "bytes": 1} for k in range(len(group))]
 
     store.append(noise.where("id < 300").repartition(8))
-    store.append(noise.where("id >= 300 and id < 4000").repartition(4))
+    store.append(noise.where("id >= 300").repartition(4), rows=20_000)
     assert len(store.plan(store.manifest()["files"])) == 2
     shards.ShardStore._merge = merge
     try:
         store.compact()
     finally:
         shards.ShardStore._merge = real
-    assert tries[:2] == [8, 4] and store.read().count() == 4000
+    assert tries[:2] == [8, 4] and store.read().count() == 40_000
 
 
 def test_shards_edges(spark, tmp_path):
