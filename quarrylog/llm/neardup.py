@@ -12,11 +12,12 @@
    neighbour where leaders do not bring the two together. Components of these links settle nearly all regions.
 4. What a region still holds of different components is compared signature by signature, in cells of bounded size
    (a region of any size is cut into blocks, and every pair of blocks is a cell): pairs of at least 60 % equal minima
-   (a pair of similarity 0.8 falls short with probability 3e-8) are checked on full sets. So no candidate of the
-   first depth is dropped, whatever the size of its region.
+   (a pair of similarity 0.8 falls short with probability 3e-8) are checked on full sets, each in one cell, to which a
+   text goes once. So no candidate of the first depth is dropped, whatever the size of its region, and a family of m
+   near-equal texts costs m^2 / CELL copies of texts, not m^2.
 5. Components of all confirmed links.
 
-Sets are checked as streams: tasks hold the set of one leader at a time.
+Sets of 3 are checked as streams: tasks hold the set of one leader at a time. Those of 4: tasks hold one cell's.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ SURE_MINIMA = 24  # of an order, shared in all orders together
 HELD_ROWS = 65_536  # rows of a region held at once; a longer one is read in parts
 EST_MIN = 77  # of 128 equal minima
 CELL = 512
+CELL_SHINGLES = 1 << 19
+GIANT = 1 << 18  # sets of more shingles are checked pair by pair
 FAN = 256  # members that share one copy of their leader's text
 BROADCAST_IDS = 300_000
 BLANK = re.compile(rb"[ \t-\r]")
@@ -198,6 +201,19 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
+def _texts(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows asked for, by rep, with their texts."""
+    asked = written(asked, "asked")
+    rows = docs.select(F.col("doc_id").alias("rep"), "text").where(F.col("rep").isNotNull())
+    load = F.count("*") + (F.sum(F.size("partners")) / 4 if "partners" in asked.columns else 0)  # arrays weigh too
+    if (asked.agg(load).first()[0] or 0) <= BROADCAST_IDS:
+        return rows.join(F.broadcast(asked), "rep")
+    # only the texts that are asked for are exchanged, each once
+    need = written(asked.select("rep").distinct(), "need")
+    few = _few(need)
+    return rows.join(need.hint("shuffle_hash") if few is need else few, "rep", "left_semi").join(asked.hint("shuffle_hash"), "rep")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
     """Of pairs(a, b) of classes, those with 100 * intersection >= percent * union on full sets. Side b is the
     leader: its text goes once to every ``FAN`` members, and a task holds one leader's set at a time."""
@@ -207,14 +223,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, perc
     leaders = fans.select(F.lit(None).cast("bigint").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan"))
     reps = reps.select("node", "rep", "digest")
     asked = members.select(F.col("a").alias("node"), "a", "b", "fan").unionByName(leaders.select(F.col("b").alias("node"), "a", "b", "fan"))
-    asked = written(asked.join(reps, "node").select("rep", "digest", "a", "b", "fan"), "asked")
-    rows = docs.select(F.col("doc_id").alias("rep"), "text").where(F.col("rep").isNotNull())
-    if asked.count() <= BROADCAST_IDS:
-        texts = rows.join(F.broadcast(asked), "rep")
-    else:  # only the texts that are asked for are exchanged, each once
-        need = written(asked.select("rep").distinct(), "need")
-        texts = rows.join(_few(need), "rep", "left_semi").join(asked, "rep")
-    placed = texts.repartition("b", "fan").sortWithinPartitions("b", "fan", F.col("a").asc_nulls_first())
+    asked = asked.join(reps, "node").select("rep", "digest", "a", "b", "fan")
+    placed = _texts(asked, docs).repartition("b", "fan").sortWithinPartitions("b", "fan", F.col("a").asc_nulls_first())
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone("neardup")
@@ -237,49 +247,114 @@ def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, perc
 
 
 def _blocks(open_rows: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Rows (key, node, comp, n_shingles) of unsettled regions, copied to the cells of their region's block pairs."""
-    sizes = open_rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(CELL)).cast("int").alias("blocks"))
+    """Rows (key, i, j, block, tree, node, comp, n_shingles, sig) of unsettled regions, copied to the cells of their region's
+    block pairs. A block has about ``CELL`` members or ``CELL_SHINGLES`` shingles, whichever makes it smaller."""
+    many = F.greatest(F.ceil(F.count("*") / F.lit(CELL)), F.ceil(F.sum(F.least("n_shingles", F.lit(GIANT))) / F.lit(CELL_SHINGLES)))
+    sizes = open_rows.groupBy("key").agg(many.cast("int").alias("blocks"))
     rows = open_rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    cells = rows.select("key", "node", "comp", "n_shingles", "block", other)
-    return cells.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "block").join(sigs, "node")
+    cells = rows.select("key", "tree", "node", "comp", "n_shingles", "block", other)
+    return cells.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other").join(sigs, "node")
 
 
 def compare(cells: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components within a cell whose sizes and signatures allow the similarity."""
+    """(key, i, j, node, comp, partners): of every cell the members to be checked there and the others that each is to be checked
+    against: those of another component whose sizes and signatures allow the similarity. A pair is in one cell only: that
+    of its two blocks in the first order in which it shares a region. Pairs with a set of more than ``GIANT`` shingles
+    have no cell (key NULL)."""
+    kinds = pa.schema([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("node", pa.int64()), ("comp", pa.int64()), ("partners", pa.list_(pa.int64()))])
 
     def run(batches):
         alone("neardup")
-        group, nodes, comps, counts, sigs = None, [], [], [], []
+        group, rows = None, []
 
         def flush():
-            if len(nodes) < 2:
-                return []
-            s = np.frombuffer(b"".join(sigs), "<u4").reshape(len(nodes), -1)
-            n = np.array(counts)
-            label = np.array(comps)
-            out = []
-            for i in range(len(nodes) - 1):
-                rest = np.flatnonzero((label[i + 1 :] != label[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))) + i + 1
+            if len(rows) < 2:
+                return
+            block, tree, node, comp, n = (np.array(x) for x in zip(*(r[:5] for r in rows)))
+            s = np.frombuffer(b"".join(r[5] for r in rows), "<u4").reshape(len(rows), MINIMA)
+            key, i, j = group
+            first = np.searchsorted(block, j) if i != j else None  # rows are sorted by block
+            partners, giants = {}, []
+            for x in range(len(rows) - 1 if i == j else first):
+                at = x + 1 if i == j else first
+                rest = np.flatnonzero((comp[at:] != comp[x]) & (100 * np.minimum(n[at:], n[x]) >= percent * np.maximum(n[at:], n[x]))) + at
+                equal = s[rest] == s[x]
+                near = equal.sum(1) >= EST_MIN
+                rest, equal = rest[near], equal[near]
+                rest = rest[equal.reshape(len(rest), TREES, DEPTH).all(2).argmax(1) == tree[x]]
                 if len(rest):
-                    near = rest[(s[rest] == s[i]).sum(1) >= EST_MIN]
-                    out += [(max(nodes[i], nodes[j]), min(nodes[i], nodes[j])) for j in near]
-            return out
+                    large = np.maximum(n[rest], n[x]) > GIANT
+                    giants += [(None, None, None, max(int(node[x]), int(node[y])), None, [min(int(node[x]), int(node[y]))]) for y in rest[large]]
+                    for y in rest[~large]:
+                        partners.setdefault(int(y), [])
+                    if not large.all():
+                        partners.setdefault(x, []).extend(node[rest[~large]].tolist())
+            out = giants + [(key, i, j, int(node[x]), int(comp[x]), to) for x, to in partners.items()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kinds)], schema=kinds)
 
         for batch in batches:
-            out: list[tuple] = []
-            for key, i, j, node, comp, n, sig in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "node", "comp", "n_shingles", "sig"))):
+            for key, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "block", "tree", "node", "comp", "n_shingles", "sig"))):
                 if (key, i, j) != group:
-                    out += flush()
-                    group, nodes, comps, counts, sigs = (key, i, j), [], [], [], []
-                nodes.append(node), comps.append(comp), counts.append(n), sigs.append(sig)
-            out = list(set(out))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
-        out = flush()
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+                    yield from flush()
+                    group, rows = (key, i, j), []
+                rows.append(row)
+        yield from flush()
 
     keys = ["key", "i", "j"]
-    return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint").distinct()
+    placed = cells.repartition(*keys).sortWithinPartitions(*keys, "block")
+    return placed.mapInArrow(run, "key bigint, i int, j int, node bigint, comp bigint, partners array<bigint>")
+
+
+def settle(members: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b), confirmed on full sets, that connect all that is linked among the pairs of every cell. A text goes once to
+    a cell, however many pairs it is in; pairs that a cell's links have joined already are left."""
+    asked = members.join(reps.select("node", "rep", "digest"), "node")
+    placed = _texts(asked, docs).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches):
+        alone("neardup")
+        group, cell = None, {}
+
+        def flush():
+            sets = [s for s, _, _ in cell.values()]
+            if len(sets) < 2:
+                return
+            ends = np.cumsum([len(s) for s in sets])
+            found, ids = np.unique(np.concatenate(sets), return_inverse=True)
+            ids = np.split(ids.astype(np.int32), ends[:-1])
+            nodes = list(cell)
+            place = {node: k for k, node in enumerate(nodes)}
+            label = np.array([comp for _, comp, _ in cell.values()])
+            held, size = np.zeros(len(found), np.uint8), np.array([len(s) for s in sets])
+            out = []
+            for node, (_, _, partners) in cell.items():
+                x = place[node]
+                to = np.array([place[p] for p in partners if p in place], np.int64)
+                to = to[label[to] != label[x]]
+                if len(to):
+                    held[ids[x]] = 1
+                    starts = np.append(0, np.cumsum(size[to])[:-1])
+                    both = np.add.reduceat(held[np.concatenate([ids[y] for y in to])], starts, dtype=np.int64)
+                    held[ids[x]] = 0
+                    for y in to[100 * both >= percent * (size[to] + size[x] - both)]:
+                        if label[y] != label[x]:
+                            label[label == label[y]] = label[x]
+                            out.append((max(node, nodes[y]), min(node, nodes[y])))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+
+        for part in (batch.slice(*run) for batch in batches for run in runs(batch.column("text"))):
+            for key, i, j, node, comp, partners, digest, text in zip(*(part.column(c).to_pylist() for c in ("key", "i", "j", "node", "comp", "partners", "digest", "text"))):
+                if (key, i, j) != group:
+                    yield from flush()
+                    group, cell = (key, i, j), {}
+                s = shingles(text, words)
+                if xxhash.xxh3_128_digest(s.tobytes()) == digest:  # else another text under a shared id
+                    cell[node] = (s, comp, partners)
+        yield from flush()
+
+    return placed.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
@@ -293,22 +368,29 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     reps = classes.where("rep IS NOT NULL")
     regions = classes.select("node", F.posexplode(_keys()).alias("tree", "key"))
     company = written(regions.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), "company")
-    placed = classes.select("node", F.posexplode(_keys()).alias("tree", "key"), _whole().alias("whole"))
     prefix = F.expr(f"substring(whole, {4 * DEPTH} * tree + 1, {4 * DEEPEST})").alias("prefix")
-    met = written(placed.join(_few(company), "key").select("node", "tree", "key", prefix), "met")  # rows of regions with company
+    few = _few(company)
+    if few is company:  # beyond the bound: numbers are exchanged, and signatures only once
+        placed = regions.join(company.hint("shuffle_hash"), "key").join(classes.select("node", _whole().alias("whole")), "node")
+    else:
+        placed = classes.select("node", F.posexplode(_keys()).alias("tree", "key"), _whole().alias("whole")).join(few, "key")
+    met = written(placed.select("node", "tree", "key", prefix), "met")  # rows of regions with company
     first = written(_proposed(forest(met)), "pairs")
     sure = written(confirm(first, docs, reps, words, percent), "links")
 
     groups = components(sure)
-    named = met.join(_few(groups), "node", "left").select("node", "key", F.coalesce("component", "node").alias("comp"))
+    named = met.join(_few(groups), "node", "left").select("node", "tree", "key", F.coalesce("component", "node").alias("comp"))
     mixed = written(named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "mixed")
     open_rows = named.join(_few(mixed), "key")
     open_rows = written(open_rows.join(classes.select("node", "n_shingles"), "node"), "open")
-    rest = written(compare(_blocks(open_rows, classes.select("node", "sig")), percent), "pairs")
-    late = written(confirm(rest, docs, reps, words, percent), "links")
+    rest = written(compare(_blocks(open_rows, classes.select("node", "sig")), percent), "members")
+    late = sure.unionByName(written(settle(rest.where("key IS NOT NULL"), docs, reps, words, percent), "links"))
+    giants = rest.where("key IS NULL").select(F.col("node").alias("a"), F.explode("partners").alias("b")).distinct()
+    if not giants.isEmpty():
+        late = late.unionByName(written(confirm(giants, docs, reps, words, percent), "links"))
     for table in (company, met, mixed, open_rows, first, rest):
         drop_written(table)
-    return sure.unionByName(late)
+    return late
 
 
 def grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:

@@ -72,6 +72,25 @@ def test_near_duplicates_exact(spark, words, monkeypatch):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def family(members, length, seed=3):
+    """Copies of one text, most pairs of similarity 0.6 to 0.8."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(10**6)}" for _ in range(length)]
+    return [" ".join(f"x{r.randrange(10**6)}" if r.random() < rate else w for w in base) for rate in (r.uniform(0.02, 0.07) for _ in range(members))]
+
+
+@pytest.mark.parametrize("bound, giant", [(300_000, 1 << 18), (0, 1 << 18), (50, 290)])
+def test_a_family_goes_to_cells_not_pair_by_pair(spark, monkeypatch, bound, giant):
+    rows, asked, real = list(enumerate(family(250, 300))), [], neardup.written
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", bound)
+    monkeypatch.setattr(neardup, "GIANT", giant, raising=False)
+    monkeypatch.setattr(neardup, "CELL", 100)
+    monkeypatch.setattr(neardup, "written", lambda df, label: (out := real(df, label), asked.append(out.count()) if label == "asked" else None)[0])
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 2, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == exact_components(rows, 2, 80)
+    assert giant < 300 or sum(asked) < 250 * 249 // 2 / 4
+
+
 def test_deduplicate_edges(spark):
     long = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda my ny xi"
     rows = [(2, long, "x"), (1, long, "y"), (1, long, "y"), (3, "", "z"), (3, "", "z"), (4, None, None), (5, "quite another text with some words", "q"), (5, "a second text of the same id it has", "q"), (None, long + " omikron", "n"), (None, long, "m")]
