@@ -199,13 +199,14 @@ def build(docs: DataFrame, arrivals: int = 4, store: ShardStore | None = None) -
 
 
 def report(docs: DataFrame, arrivals: int = 4) -> DataFrame:
-    """doc_id, arrival, settled (the row's shard is of the target size, or its tier has fewer shards than make a merge) and a
+    """doc_id, arrival, version (of the manifest read), settled (the row's shard is of the target size, or its tier has fewer shards than make a merge) and a
     digest of the text, read back from the compacted shards. Rows stay one for one, whatever the files or the
     partitions that the frame comes from; NULL ids are an arrival like others; an empty table gives no rows."""
     spark = docs.sparkSession
     store = build(docs.select("doc_id", "text"), arrivals)
-    files = store.manifest()["files"]
+    manifest = store.manifest()
+    files = manifest["files"]
     waiting = {f["shard"] for group in store.plan(files) for f in group}
     known = spark.createDataFrame([(f["shard"], f["shard"] not in waiting) for f in files], "shard bigint, settled boolean")
-    rows = store.read(shard="shard").join(F.broadcast(known) if len(files) <= 100_000 else known, "shard")
-    return rows.select("doc_id", arrival_of(F.col("doc_id"), arrivals).cast("bigint").alias("arrival"), "settled", F.sha2("text", 256).alias("text_sha256"))
+    rows = store.read(manifest["version"], shard="shard").join(F.broadcast(known) if len(files) <= 100_000 else known, "shard")
+    return rows.select("doc_id", arrival_of(F.col("doc_id"), arrivals).cast("bigint").alias("arrival"), F.lit(manifest["version"]).cast("bigint").alias("version"), "settled", F.sha2("text", 256).alias("text_sha256"))
