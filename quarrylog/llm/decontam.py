@@ -78,14 +78,13 @@ def weights_of(grams: DataFrame) -> DataFrame:
 
 
 def _fingerprint(keys: list[str], rows: DataFrame) -> DataFrame:
-    """SimHash per group of rows(h, v): bit b is set where the weighted votes of bit b are positive."""
-    votes = [F.sum(F.when(F.shiftright("h", b).bitwiseAND(F.lit(1)) == 1, F.col("v")).otherwise(-F.col("v"))).alias(f"b{b}") for b in range(BITS)]
-    tallied = rows.groupBy(*keys).agg(*votes)
-    bits = [F.when(F.col(f"b{b}") > 0, F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("bigint") for b in range(BITS)]
-    # combined in a balanced tree: a chain of 64 would nest too deep
-    while len(bits) > 1:
-        bits = [a.bitwiseOR(b) for a, b in zip(bits[::2], bits[1::2])]
-    return tallied.select(*keys, bits[0].alias("fp"))
+    """SimHash per group of rows(h, v): bit b is set where the weighted votes of bit b are positive. A group is as many rows as
+    an item or window has shingles. One expression serves all bits: 64 sums, planned and compiled again and
+    again, took the driver's memory."""
+    votes = "aggregate(votes, 0D, (s, x) -> s + if((shiftright(x.h, b) & 1L) = 1L, x.v, -x.v))"
+    fp = F.expr(f"aggregate(sequence(0, {BITS - 1}), 0L, (bits, b) -> if({votes} > 0D, bits | shiftleft(1L, b), bits))")
+    listed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("h", F.col("v").cast("double").alias("v")))).alias("votes"))
+    return listed.select(*keys, fp.alias("fp"))
 
 
 def _blocks(df: DataFrame) -> DataFrame:

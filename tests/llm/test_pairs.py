@@ -174,6 +174,15 @@ def test_contaminated_rows_without_an_id(spark):
     assert decontam.matches(docs, bench).schema["doc_id"].dataType == docs.schema["doc_id"].dataType
 
 
+def test_fingerprints_by_a_small_plan(spark):
+    r = random.Random(4)
+    rows = [(g, r.getrandbits(64) - (1 << 63), r.uniform(0.1, 3)) for g in range(20) for _ in range(r.randint(1, 40))]
+    got = decontam._fingerprint(["g"], spark.createDataFrame(rows, "g int, h bigint, v double"))
+    for g, fp in got.collect():
+        assert fp & (1 << 64) - 1 == sum(1 << b for b in range(64) if sum(v if h >> b & 1 else -v for x, h, v in rows if x == g) > 0)
+    assert len(got._jdf.queryExecution().toString()) < 10_000
+
+
 def test_blocks_find_all_within_the_radius(spark):
     assert sum(n for _, n in decontam.BLOCKS) == 64 and decontam.PARTS * (decontam.BLOCK_RADIUS + 1) > decontam.RADIUS
     r = random.Random(1)
