@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quarrylog.operators.keyindex import dense_rank_of
+from quarrylog.session import work_dir
 
 GROUP = 64
 
@@ -27,7 +28,11 @@ def _latest(rows: DataFrame, by: str, capacity: int) -> DataFrame:
 
 def _carried(recent: DataFrame, capacity: int) -> DataFrame:
     """(seg, p, t): the cache before each segment, of summaries(seg, p, t). A task carries ``GROUP`` summaries forward; what
-    stands before a group comes from the groups' summaries, carried the same way."""
+    stands before a group comes from the groups' summaries, carried the same way. Summaries are read by several steps: they are
+    written once, which also makes their columns others than those of the trace that they are matched with."""
+    path = f"{work_dir(recent.sparkSession, 'recent')}/recent"
+    recent.write.parquet(path)
+    recent = recent.sparkSession.read.schema(recent.schema).parquet(path)
 
     def carry(pdf: pd.DataFrame) -> pd.DataFrame:
         cache: OrderedDict = OrderedDict()

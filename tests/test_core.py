@@ -197,6 +197,23 @@ def test_lru_replay_segments(spark):
     assert {x.t: x.hit for x in got.collect()} == want
 
 
+@pytest.mark.parametrize("segment", [20, 2])
+def test_lru_replay_groups_of_segments(spark, monkeypatch, segment):
+    """More segments than a group carries, and more groups than that: the caches come from the levels above."""
+    monkeypatch.setattr(cachesim, "GROUP", 4)
+    r = random.Random(4)
+    trace = [(i * 7, int(r.paretovariate(0.7)) % 60 + i // 100) for i in range(400)]
+    cache, want = OrderedDict(), {}
+    for t, p in trace:
+        want[t] = p in cache
+        cache.pop(p, None)
+        cache[p] = True
+        if len(cache) > 10:
+            cache.popitem(last=False)
+    got = cachesim.lru_replay(spark.createDataFrame(trace, "t bigint, p bigint"), "t", "p", 10, segment=segment)
+    assert {x.t: x.hit for x in got.collect()} == want
+
+
 def test_streaming(spark, tmp_path):
     logs.write_logs(logs.synthetic_logs(spark, 1200, 1_700_000_040_000), str(tmp_path / "in"))
     counts = windowed_counts(stream_logs(spark, str(tmp_path / "in")))
